@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from barledger.operators.ordered import CHUNK, TICK_CHUNK_SECONDS, chunk_window, with_chunk
 
-PIECE = 256
+PIECE = 64
 CHUNKS_PER_SPAN = 256
 
 
@@ -41,29 +41,30 @@ class Machine:
 
 
 def _ints(values: Sequence[int]) -> Column:
-    return F.array(*[F.lit(int(v)) for v in values])
+    return F.expr(f"array({', '.join(str(int(v)) for v in values)})")
 
 
-def _flat(machine: Machine) -> Column:
-    return _ints([s for row in machine.step for s in row])
+def _labels(values: Sequence[object]) -> Column:
+    """A constant array of strings or booleans, written as one SQL expression."""
+    return F.expr(f"array({', '.join(str(v) if isinstance(v, bool) else repr(v) for v in values)})")
 
 
-def _cell(machine: Machine, event: Column, state: Column) -> Column:
-    return event * F.lit(machine.width) + state
+def _moves(machine: Machine) -> Column:
+    """One row of next states per event code, a constant."""
+    rows = (f"array({', '.join(map(str, row))})" for row in machine.step)
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def event_code(machine: Machine, event_type: Column) -> Column:
     """Position of the event type in the rule set; null when it is unknown."""
-    at = F.array_position(F.array(*[F.lit(e) for e in machine.events]), event_type)
+    at = F.array_position(_labels(machine.events), event_type)
     return F.when(at > 0, (at - 1).cast("int"))
 
 
 def _compose(maps: Column, width: int) -> Column:
-    """One map from an ordered array of structs with field ``m``."""
+    """One map from an ordered array of maps."""
     return F.aggregate(
-        maps,
-        _ints(range(width)),
-        lambda acc, part: F.transform(acc, lambda s: F.get(part["m"], s)),
+        maps, _ints(range(width)), lambda acc, m: F.transform(acc, lambda s: F.get(m, s))
     )
 
 
@@ -72,18 +73,13 @@ def _starts(maps: Column, start: Column) -> Column:
     return F.aggregate(
         maps,
         F.struct(F.array().cast("array<int>").alias("out"), start.cast("int").alias("s")),
-        lambda acc, part: F.struct(
-            F.array_append(acc["out"], acc["s"]).alias("out"),
-            F.get(part["m"], acc["s"]).alias("s"),
+        lambda acc, m: F.struct(
+            F.array_append(acc["out"], acc["s"]).alias("out"), F.get(m, acc["s"]).alias("s")
         ),
         lambda acc: acc["out"],
     )
 
 
-def _pairs(maps: Column, starts: Column) -> Column:
-    return F.arrays_zip(maps.alias("p"), starts.alias("s"))
-
-
 def fold_events(
     events: DataFrame,
     keys: Sequence[str],
@@ -105,87 +101,68 @@ def fold_events(
         seconds,
     )
     number = F.row_number().over(chunk_window(keys, ["ts", "seq"]))
-    packed = F.array_sort(F.collect_list(F.struct("ts", "seq", "e")))
     pieces = (
         rows.withColumn("piece", F.floor((number - 1) / F.lit(PIECE)).cast("int"))
         .groupBy(*keys, CHUNK, "piece")
-        .agg(packed.alias("ev"))
+        .agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "e"))).alias("ev"))
     )
-    table = _flat(machine)
-    piece_map = F.aggregate(
-        F.col("ev"),
-        _ints(range(machine.width)),
-        lambda acc, r: F.transform(
-            acc, lambda s: F.coalesce(F.get(table, _cell(machine, r["e"], s)), s)
-        ),
+    # One map per event; an unknown event keeps every state.
+    moves = F.transform(
+        F.col("ev.e"), lambda e: F.coalesce(F.get(_moves(machine), e), _ints(range(machine.width)))
     )
+    piece_map = _compose(moves, machine.width)
 
     def ordered(position: str, m: Column) -> Column:
-        return F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), m.alias("m"))))
+        return F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), m.alias("m"))))
 
     chunks = (
         pieces.groupBy(*keys, CHUNK)
         .agg(ordered("piece", piece_map).alias("pieces"))
-        .withColumn("m", _compose(F.col("pieces"), machine.width))
         .withColumn("_span", F.floor(F.col(CHUNK) / F.lit(CHUNKS_PER_SPAN)))
     )
-    spans = (
-        chunks.groupBy(*keys, "_span")
-        .agg(ordered(CHUNK, F.col("m")).alias("chunks"))
-        .withColumn("m", _compose(F.col("chunks"), machine.width))
+    spans = chunks.groupBy(*keys, "_span").agg(
+        ordered(CHUNK, _compose(F.col("pieces.m"), machine.width)).alias("chunks")
     )
     span_starts = (
         spans.groupBy(*keys)
-        .agg(ordered("_span", F.col("m")).alias("spans"))
-        .withColumn("s", _starts(F.col("spans"), F.lit(0)))
-        .select(*keys, F.inline(F.arrays_zip(F.col("spans.at").alias("_span"), F.col("s").alias("_s0"))))
+        .agg(ordered("_span", _compose(F.col("chunks.m"), machine.width)).alias("spans"))
+        .select(*keys, _hand_down("spans", "_span", F.lit(0)))
     )
-    chunk_starts = (
-        spans.join(span_starts, [*keys, "_span"])
-        .withColumn("s", _starts(F.col("chunks"), F.col("_s0")))
-        .select(*keys, F.inline(F.arrays_zip(F.col("chunks.at").alias(CHUNK), F.col("s").alias("_s0"))))
+    chunk_starts = spans.join(span_starts, [*keys, "_span"]).select(
+        *keys, _hand_down("chunks", CHUNK, F.col("_s0"))
     )
     piece_starts = chunks.join(chunk_starts, [*keys, CHUNK]).select(
-        *keys, CHUNK, _starts(F.col("pieces"), F.col("_s0")).alias("_starts")
+        *keys, CHUNK, _starts(F.col("pieces.m"), F.col("_s0")).alias("_starts")
     )
-    replay = F.aggregate(
-        F.col("ev"),
-        F.struct(
-            F.array().cast("array<struct<ts:%s,seq:bigint,_event:int,_before:int,_after:int>>"
-                            % _type_of(events, ts)).alias("out"),
-            F.get("_starts", "piece").alias("s"),
+    replayed = pieces.join(piece_starts, [*keys, CHUNK]).select(
+        *keys,
+        F.inline(
+            F.arrays_zip(
+                F.col("ev.ts").alias("ts"),
+                F.col("ev.seq").alias("seq"),
+                F.col("ev.e").alias("_event"),
+                _starts(moves, F.get("_starts", "piece")).alias("_before"),
+            )
         ),
-        lambda acc, r: _advance(machine, table, acc, r),
-        lambda acc: acc["out"],
     )
-    return pieces.join(piece_starts, [*keys, CHUNK]).select(*keys, F.inline(replay))
-
+    after = F.get(F.get(_moves(machine), F.col("_event")), F.col("_before"))
+    return replayed.withColumn("_after", F.coalesce(after, "_before"))
 
-def _type_of(df: DataFrame, name: str) -> str:
-    return df.schema[name].dataType.simpleString()
 
-
-def _advance(machine: Machine, table: Column, acc: Column, r: Column) -> Column:
-    after = F.coalesce(F.get(table, _cell(machine, r["e"], acc["s"])), acc["s"])
-    row = F.struct(
-        r["ts"].alias("ts"),
-        r["seq"].alias("seq"),
-        r["e"].alias("_event"),
-        acc["s"].alias("_before"),
-        after.alias("_after"),
-    )
-    return F.struct(F.array_append(acc["out"], row).alias("out"), after.alias("s"))
+def _hand_down(maps: str, position: str, start: Column) -> Column:
+    starts = _starts(F.col(f"{maps}.m"), start)
+    return F.inline(F.arrays_zip(F.col(f"{maps}.at").alias(position), starts.alias("_s0")))
 
 
 def decode(rows: DataFrame, machine: Machine) -> DataFrame:
     """Turn state numbers back into the label columns of the machine."""
     out = rows.withColumn(
-        "event_type", F.get(F.array(*[F.lit(e) for e in machine.events]), F.col("_event"))
+        "event_type", F.get(_labels(machine.events), F.col("_event"))
     )
     for name, by_event in machine.labels.items():
-        flat = F.array(*[F.lit(v) for row in by_event for v in row])
+        flat = _labels([v for row in by_event for v in row])
         if name.endswith("last_action"):
-            at = _cell(machine, F.col("_event"), F.col("_before"))
+            at = F.col("_event") * F.lit(machine.width) + F.col("_before")
         else:
             at = F.col("_after")
         out = out.withColumn(name, F.get(flat, at))
