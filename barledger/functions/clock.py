@@ -89,3 +89,25 @@ def calendar(spans: DataFrame, step: str = "1 day") -> DataFrame:
     return spans.withColumn(
         "period", F.explode(F.expr(f"sequence(first, last, interval {step})"))
     ).drop("first", "last")
+
+
+def _at(us: Column, like: str) -> Column:
+    return F.timestamp_micros(us).cast(like)
+
+
+def bin_end(ts: Column, seconds: int, like: str, origin_seconds: int = 0) -> Column:
+    """End of the right-closed bin of ``ts``, as plain arithmetic.
+
+    ``F.window`` allows one window per query block; this form lets one pass over the
+    bars bin them for many clocks at once. ``like`` is the timestamp type to return.
+    """
+    width, origin = seconds * 1_000_000, origin_seconds * 1_000_000
+    us = micros(ts)
+    return _at(us + F.pmod(F.lit(origin) - us, F.lit(width)), like)
+
+
+def week_end_of_day(ts: Column, like: str) -> Column:
+    """Monday label of the whole-day weekly bins: Monday belongs to its own label."""
+    day, week, monday = 86400_000_000, 604800_000_000, 4 * 86400_000_000
+    midnight = micros(ts) - F.pmod(micros(ts), F.lit(day))
+    return _at(midnight + F.pmod(F.lit(monday) - midnight, F.lit(week)), like)
