@@ -70,7 +70,9 @@ def campaigns(ledger: DataFrame, keys: Sequence[str], seconds: int = BAR_CHUNK_S
     )
     numbered = running(rows, keys, [at], {"campaign_id": ("sum", fresh.cast("int"))}, seconds)
     last_bar = ledger.groupBy(*keys).agg(F.max(at).alias("_series_end"))
+    epoch = [F.min_by("bull_epoch_id", at).alias("bull_epoch_id")] if "bull_epoch_id" in ledger.columns else []
     runs = numbered.filter(F.col("held_exposure") != 0).groupBy(*keys, "campaign_id").agg(
+        *epoch,
         F.max("held_exposure").alias("side"),
         F.min("open_time").alias("first_open"),
         F.max(at).alias("last_at"),
@@ -106,13 +108,18 @@ def yearly(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
 LONG_GATE = {"days": 365, "campaigns": 6, "epochs": 3}
 
 
-def long_gate(runs: DataFrame, bull_epochs: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+def long_gate(runs: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Gate for sparse long campaigns: enough of them, positive, and not carried by one.
 
-    ``runs``: long campaigns with ``bull_epoch_id``; ``bull_epochs``: one row per epoch
-    with its summed log return; ``spans``: keys, first_at, last_at.
+    ``runs``: campaigns with the bull epoch they started in; ``spans``: keys, first_at,
+    last_at. Open campaigns are no completed evidence.
     """
-    done = runs.filter("completed").groupBy(*keys).agg(
+    long_done = runs.filter((F.col("side") > 0) & F.col("completed"))
+    bull_epochs = (
+        long_done.filter(F.col("bull_epoch_id").isNotNull())
+        .groupBy(*keys, "bull_epoch_id").agg(F.sum("log_return").alias("log_return"))
+    )
+    done = long_done.groupBy(*keys).agg(
         F.count("*").alias("completed_campaigns"),
         F.sum("log_return").alias("total"),
         (F.sum("log_return") - F.max("log_return")).alias("total_without_best"),

@@ -91,15 +91,21 @@ def flip_violations(timeline: DataFrame, keys: Sequence[str], side: str, seconds
 
 
 def numbered_rows(rows: DataFrame, keys: Sequence[str], seconds: int = BAR_CHUNK_SECONDS) -> DataFrame:
-    """Execution rows with running segment and bear-epoch numbers."""
+    """Execution rows with running segment, bear-epoch and bull-epoch numbers."""
     out = running(
         rows, keys, ["availability_time"],
-        {"segment_no": ("sum", F.col("segment_start")), "epoch_no": ("sum", F.col("bear_start"))},
+        {
+            "segment_no": ("sum", F.col("segment_start")),
+            "_bear": ("sum", F.col("bear_start")),
+            "_bull": ("sum", F.col("bull_start")),
+        },
         seconds,
     )
-    return out.withColumn(
-        "bear_epoch_id", F.when(F.col("direction") == -1, F.col("epoch_no"))
-    ).drop("epoch_no")
+    return (
+        out.withColumn("bear_epoch_id", F.when(F.col("direction") == -1, F.col("_bear")))
+        .withColumn("bull_epoch_id", F.when(F.col("direction") == 1, F.col("_bull")))
+        .drop("_bear", "_bull")
+    )
 
 
 def bear_epochs(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:

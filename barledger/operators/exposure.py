@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barledger.checks import IntegrityError
+
 LEGS = (
     "core_long", "core_short", "hedge_short", "gross_exposure",
     "net_exposure", "gross_scale", "applied_reduce_fraction", "authorized_hedge_fraction",
 )
-# More policies than this are joined by key, not multiplied with the states.
-MAX_SCENARIOS = 1000
+
+
+@dataclass(frozen=True)
+class Policy:
+    """One capital policy: how much to hold, to cut and to hedge."""
+
+    policy_id: str
+    core_unit: float = 1.0
+    reduce_fraction: float = 0.0
+    hedge_fractions: Mapping[str, float] = field(default_factory=dict)
+    gross_cap: float | None = None
+
+    def __post_init__(self) -> None:
+        within = [0 <= x <= 1 for x in (self.reduce_fraction, *self.hedge_fractions.values())]
+        if not 0 < self.core_unit <= 1 or not all(within) or "" in self.hedge_fractions:
+            raise IntegrityError(f"policy outside its limits: {self}")
+        if self.gross_cap is not None and self.gross_cap <= 0:
+            raise IntegrityError(f"gross cap must be positive: {self}")
+
+    def as_column(self) -> Column:
+        pairs = [F.lit(v) for kv in self.hedge_fractions.items() for v in kv]
+        return F.struct(
+            F.lit(self.policy_id).alias("policy_id"),
+            F.lit(float(self.core_unit)).alias("core_unit"),
+            F.lit(float(self.reduce_fraction)).alias("reduce_fraction"),
+            F.create_map(*pairs).cast("map<string,double>").alias("hedge_fractions"),
+            F.lit(self.gross_cap).cast("double").alias("gross_cap"),
+        )
 
 
 def policy_violations(policies: DataFrame) -> DataFrame:
@@ -37,13 +66,12 @@ def _authorized(reasons: Column, fractions: Column) -> Column:
     return F.coalesce(granted, F.lit(0.0))
 
 
-def allocate(states: DataFrame, policies: DataFrame) -> DataFrame:
+def allocate(states: DataFrame, policies: Sequence[Policy]) -> DataFrame:
     """Every state under every policy; unknown hedge reasons or sides mark the row refused.
 
-    The policy table is a small scenario set; its size is checked before it is broadcast.
+    Policies are parameters, so they widen each row in place: nothing is joined.
     """
-    many = policies.limit(MAX_SCENARIOS + 1).count() > MAX_SCENARIOS
-    rows = states.crossJoin(policies if many else F.broadcast(policies))
+    rows = states.select("*", F.inline(F.array(*[p.as_column() for p in policies])))
     side = F.upper("core_side")
     fractions = F.coalesce(F.col("hedge_fractions"), F.create_map().cast("map<string,double>"))
     reasons = F.coalesce(F.col("hedge_reasons"), F.array().cast("array<string>"))

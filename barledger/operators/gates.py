@@ -136,13 +136,15 @@ def integrity_failures(audit: DataFrame, required: DataFrame, keys: Sequence[str
 
 def final_gate(hard_failures: DataFrame, parity: DataFrame) -> DataFrame:
     """One row: eligible when nothing hard failed; parity is reported, never blocking."""
-    hard = hard_failures.agg(F.count("*").alias("hard_failures"))
-    diag = parity.agg(
-        F.count_if(F.col("mismatch_bars") > 0).alias("parity_mismatch_groups"),
-        F.coalesce(F.sum("mismatch_bars"), F.lit(0)).alias("parity_mismatch_bars"),
+    facts = hard_failures.select(F.lit(1).alias("hard"), F.lit(0).cast("long").alias("bars")).unionAll(
+        parity.select(F.lit(0).alias("hard"), F.col("mismatch_bars").alias("bars"))
     )
     return (
-        hard.join(diag)  # two one-row tables
+        facts.agg(
+            F.count_if(F.col("hard") == 1).alias("hard_failures"),
+            F.count_if(F.col("bars") > 0).alias("parity_mismatch_groups"),
+            F.coalesce(F.sum("bars"), F.lit(0)).alias("parity_mismatch_bars"),
+        )
         .withColumn("eligible", F.col("hard_failures") == 0)
         .withColumn("status", F.when(F.col("eligible"), "PASS").otherwise("FAIL"))
     )

@@ -122,7 +122,7 @@ def execution_rows(
 
     A and B share bars and events, so they stay side by side in one row: the pair join
     of two ledgers, and half of the shuffle, fall away. Starts of divergences and of
-    bear epochs are flagged here too, since they look back the same two bars.
+    bear or bull epochs are flagged here too, since they look back the same two bars.
     """
     rows = bars_with_history(bars, timeline, keys, STATE_COLUMNS, seconds)
     gap = F.try_divide("open", F.col("prev.close")) - 1
@@ -142,6 +142,8 @@ def execution_rows(
     apart_before = _prior("prev2", "a_side") != _prior("prev2", "b_side")
     bear = F.col("now.direction") == -1
     bear_before = F.coalesce(F.col("prev.direction") == -1, F.lit(False))
+    bull = F.col("now.direction") == 1
+    bull_before = F.coalesce(F.col("prev.direction") == 1, F.lit(False))
     return (
         out.withColumn("direction", F.col("now.direction"))
         .withColumn("at_risk", F.col("now.at_risk") == 1)
@@ -149,6 +151,7 @@ def execution_rows(
         .withColumn("in_segment", apart | apart_before)
         .withColumn("segment_start", (apart & ~apart_before).cast("int"))
         .withColumn("bear_start", (bear & ~bear_before).cast("int"))
+        .withColumn("bull_start", (bull & ~bull_before).cast("int"))
         .drop("now", "prev", "prev2")
     )
 
@@ -177,6 +180,7 @@ def by_candidate(rows: DataFrame, keys: Sequence[str], costs: Sequence[float]) -
         ]
     )
     shared = ["open_time", "availability_time", "open", "close", "direction", "at_risk"]
+    shared += [c for c in ("bear_epoch_id", "bull_epoch_id") if c in rows.columns]
     wide = rows.select(*keys, CHUNK, *shared, F.explode(options).alias("_o"))
     return wide.select(*keys, CHUNK, *shared, "_o.*")
 
@@ -189,7 +193,14 @@ def candidate_ledger(
     seconds: int = BAR_CHUNK_SECONDS,
 ) -> DataFrame:
     """The additive ledger per (series, candidate, cost) with equity and drawdown."""
-    rows = by_candidate(execution_rows(bars, timeline, keys, seconds), keys, costs)
+    return scenario_ledger(execution_rows(bars, timeline, keys, seconds), keys, costs, seconds)
+
+
+def scenario_ledger(
+    rows: DataFrame, keys: Sequence[str], costs: Sequence[float] = (7.0,), seconds: int = BAR_CHUNK_SECONDS
+) -> DataFrame:
+    """The same from execution rows that already exist."""
+    rows = by_candidate(rows, keys, costs)
     scenario = [*keys, "candidate", "cost_bps"]
     out = equity_curve(rows, scenario, ["availability_time"], 1 + F.col("net_return"), seconds)
     return out.withColumn("log_net", F.log1p("net_return")).drop(CHUNK, "peak")

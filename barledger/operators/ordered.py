@@ -21,6 +21,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barledger.functions.clock import micros
 
@@ -42,9 +43,16 @@ def with_chunk(df: DataFrame, ts: str, seconds: int) -> DataFrame:
 
 
 def with_ordinal_chunk(df: DataFrame, ordinal: str, rows: int = 1_000_000) -> DataFrame:
-    """Chunks for scans in arrival order: a bounded number of rows each."""
+    """Chunks for scans in arrival order: a bounded number of rows each.
+
+    A struct ordinal (file, block, row) is chunked by everything but its last field,
+    that is by file block, whose size Spark bounds when it splits files.
+    """
     if CHUNK in df.columns:
         return df
+    kind = df.schema[ordinal].dataType
+    if isinstance(kind, StructType):
+        return df.withColumn(CHUNK, F.struct(*[F.col(ordinal)[n] for n in kind.names[:-1]]))
     return df.withColumn(CHUNK, F.floor(F.col(ordinal) / F.lit(rows)))
 
 
@@ -121,13 +129,13 @@ def previous_row(
     inherited = tails.select(
         *keys,
         CHUNK,
-        F.lag(F.struct(*cols)).over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_before"),
+        F.lag(F.struct(*cols)).over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_carry"),
     )
     local = rows.withColumn("_local", F.lag(F.struct(*cols)).over(chunk_window(keys, order)))
     return (
         attach(local, inherited, keys)
-        .withColumn(name, F.coalesce("_local", "_before"))
-        .drop("_local", "_before")
+        .withColumn(name, F.coalesce("_local", "_carry"))
+        .drop("_local", "_carry")
     )
 
 
