@@ -44,7 +44,7 @@ def _one_line(
         *keys, F.col("ts").alias("_t"), F.lit(0).alias("_side"), F.col("seq").cast("long").alias("_seq"),
         state.alias("_state"),
     )
-    line = with_chunk(left.unionByName(right, allowMissingColumns=True), "_t", seconds)
+    line = with_chunk(left.unionByName(right, allowMissingColumns=True), keys, "_t", seconds)
     w = chunk_window(keys, _ORDER).rowsBetween(Window.unboundedPreceding, 0)
     return line.withColumn("_known", F.last("_state", ignorenulls=True).over(w))
 
@@ -85,7 +85,9 @@ def bars_with_history(
 
     Adds structs ``now``, ``prev`` and ``prev2``, each (state_cols..., close); ``prev``
     and ``prev2`` are null where there is no such bar, and missing states count as 0.
-    One chunked scan yields all three, so ledgers need no further look-back.
+    One chunked scan yields all three, so ledgers need no further look-back. The chunk
+    summary keeps whole bars, so both branches shuffle the same columns and Spark reuses
+    one exchange.
     """
     bar_cols = ["open_time", "availability_time", "open", "close"]
     line = _one_line(bars, states, keys, "availability_time", bar_cols, state_cols, seconds)
@@ -99,7 +101,7 @@ def bars_with_history(
     when_bar = F.when(is_bar, F.col("_t"))
     tails = line.groupBy(*keys, CHUNK).agg(
         F.max_by("_state", F.when(~is_bar, F.struct("_t", "_seq"))).alias("_tail"),
-        F.max_by(F.struct("_known", F.col("_bar.close").alias("close")), when_bar).alias("_t1"),
+        F.max_by(F.struct("_known", "_bar"), when_bar).alias("_row"),
         F.max_by("_b1", when_bar).alias("_t2"),
     )
     past = earlier_chunks(keys)
@@ -113,6 +115,10 @@ def bars_with_history(
 
     inherited = (
         tails.withColumn("_in", F.last("_tail", ignorenulls=True).over(past))
+        .withColumn(
+            "_t1",
+            F.when(F.col("_row").isNotNull(), F.struct(F.col("_row._known"), F.col("_row._bar.close").alias("close"))),
+        )
         .withColumn("_s1", settled(F.col("_t1")))
         .withColumn("_c1", F.last("_s1", ignorenulls=True).over(past))
         .withColumn("_s2", F.when(F.col("_t1").isNotNull(), F.struct(F.coalesce(settled(F.col("_t2")), F.col("_c1")).alias("v"))))
@@ -155,7 +161,7 @@ def align_timelines(
         .groupBy(*keys, "_t")
         .agg(F.first("_a", ignorenulls=True).alias("_a"), F.first("_b", ignorenulls=True).alias("_b"))
     )
-    line = with_chunk(instants, "_t", seconds)
+    line = with_chunk(instants, keys, "_t", seconds)
     w = chunk_window(keys, ["_t"]).rowsBetween(Window.unboundedPreceding, 0)
     local = line.withColumns({f"_l{s}": F.last(f"_{s}", ignorenulls=True).over(w) for s in "ab"})
     tails = line.groupBy(*keys, CHUNK).agg(

@@ -32,7 +32,7 @@ def union_periods(frames: Sequence[DataFrame]) -> DataFrame:
 
 def out_of_order(df: DataFrame, keys: Sequence[str], ts: str, arrival: str) -> DataFrame:
     """Rows per key whose timestamp is before that of the row arriving just before."""
-    seen = previous_row(with_ordinal_chunk(df, arrival), keys, [arrival], [ts], name="_before")
+    seen = previous_row(with_ordinal_chunk(df, keys, arrival), keys, [arrival], [ts], name="_before")
     return seen.groupBy(*keys).agg(
         F.count_if(F.coalesce(F.col(ts) < F.col(f"_before.{ts}"), F.lit(False))).alias("out_of_order")
     )

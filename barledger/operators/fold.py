@@ -97,6 +97,7 @@ def fold_events(
             F.col(seq).cast("long").alias("seq"),
             event_code(machine, F.col(event_type)).alias("e"),
         ),
+        keys,
         "ts",
         seconds,
     )

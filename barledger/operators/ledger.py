@@ -62,7 +62,8 @@ def ledger_violations(
         .groupBy(*keys).agg(F.sum(F.col("n") - 1).alias("duplicate_timestamp"))
         .unpivot(list(keys), ["duplicate_timestamp"], "check", "failures")
     )
-    legs = _legs(bars, keys, fee_bps + slippage_bps, BAR_CHUNK_SECONDS)
+    dated = bars.filter(F.col("timestamp").isNotNull())  # undated bars are counted above
+    legs = _legs(dated, keys, fee_bps + slippage_bps, BAR_CHUNK_SECONDS)
     wealth = violations(
         legs,
         keys,

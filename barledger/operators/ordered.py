@@ -35,14 +35,29 @@ def chunk_of(ts: Column, seconds: int) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * 1_000_000))
 
 
-def with_chunk(df: DataFrame, ts: str, seconds: int) -> DataFrame:
+def strict(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Refuse rows without a series or an instant: the job stops, no row is dropped.
+
+    The filter after it never removes anything; it tells the optimizer the columns are
+    set, so both branches of a scan keep the same plan and share one exchange.
+    """
+    whole = df.withColumns(
+        {n: F.coalesce(F.col(n), F.raise_error(F.lit(f"null {n} in an ordered scan"))) for n in names}
+    )
+    for n in names:
+        whole = whole.filter(F.col(n).isNotNull())
+    return whole
+
+
+def with_chunk(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
     """Add the chunk number unless an earlier scan of the same plan already did."""
     if CHUNK in df.columns:
         return df
-    return df.withColumn(CHUNK, chunk_of(F.col(ts), seconds))
+    chunked = strict(df, [*keys, ts]).withColumn(CHUNK, chunk_of(F.col(ts), seconds))
+    return chunked.filter(F.col(CHUNK).isNotNull())
 
 
-def with_ordinal_chunk(df: DataFrame, ordinal: str, rows: int = 1_000_000) -> DataFrame:
+def with_ordinal_chunk(df: DataFrame, keys: Sequence[str], ordinal: str, rows: int = 1_000_000) -> DataFrame:
     """Chunks for scans in arrival order: a bounded number of rows each.
 
     A struct ordinal (file, block, row) is chunked by everything but its last field,
@@ -51,6 +66,7 @@ def with_ordinal_chunk(df: DataFrame, ordinal: str, rows: int = 1_000_000) -> Da
     if CHUNK in df.columns:
         return df
     kind = df.schema[ordinal].dataType
+    df = strict(df, [*keys, ordinal])
     if isinstance(kind, StructType):
         return df.withColumn(CHUNK, F.struct(*[F.col(ordinal)[n] for n in kind.names[:-1]]))
     return df.withColumn(CHUNK, F.floor(F.col(ordinal) / F.lit(rows)))
@@ -107,8 +123,8 @@ def earlier_chunks(keys: Sequence[str]) -> Window:
 
 
 def attach(rows: DataFrame, inherited: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join chunk inheritance back; a left join, so no row can be lost."""
-    return rows.join(inherited, [*keys, CHUNK], "left")
+    """Join chunk inheritance back. Every chunk has a summary row, so no row is lost."""
+    return rows.join(inherited, [*keys, CHUNK])
 
 
 def previous_row(
@@ -124,7 +140,7 @@ def previous_row(
     The chunk summary (its last row) is taken from the input before any shuffle, so
     only one row per map task and chunk travels for it.
     """
-    rows = with_chunk(df, order[0], seconds)
+    rows = with_chunk(df, keys, order[0], seconds)
     tails = rows.groupBy(*keys, CHUNK).agg(*_last_of(cols, order))
     inherited = tails.select(
         *keys,
@@ -146,18 +162,21 @@ def previous_two_rows(
     cols: Sequence[str],
     seconds: int = BAR_CHUNK_SECONDS,
 ) -> DataFrame:
-    """Add structs ``prev`` and ``prev2``: the row before and the one before that."""
+    """Add structs ``prev`` and ``prev2``: the row before and the one before that.
+
+    A chunk's summary is its whole last row, so that the summary branch reads the very
+    columns the main branch shuffles and Spark reuses that exchange.
+    """
     w = chunk_window(keys, order)
     here = F.struct(*cols)
-    local = (
-        with_chunk(df, order[0], seconds)
-        .withColumn("_p1", F.lag(here, 1).over(w))
-        .withColumn("_p2", F.lag(here, 2).over(w))
-    )
+    rows = with_chunk(df, keys, order[0], seconds)
+    row = F.struct(*[c for c in rows.columns if c not in keys and c != CHUNK])
+    local = rows.withColumn("_p1", F.lag(here, 1).over(w)).withColumn("_p2", F.lag(here, 2).over(w))
     key = _order_key(order)
     tails = local.groupBy(*keys, CHUNK).agg(
-        F.max_by(here, key).alias("_t1"), F.max_by(F.col("_p1"), key).alias("_t2")
+        F.max_by(row, key).alias("_row"), F.max_by(F.col("_p1"), key).alias("_t2")
     )
+    tails = tails.withColumn("_t1", F.struct(*[F.col(f"_row.{c}").alias(c) for c in cols]))
     by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
     inherited = (
         tails.withColumn("_c1", F.lag("_t1").over(by_chunk))
@@ -200,7 +219,7 @@ def running(
     seconds: int = BAR_CHUNK_SECONDS,
 ) -> DataFrame:
     """Add running ``sum`` / ``product`` / ``max`` columns up to and including each row."""
-    rows = with_chunk(df, order[0], seconds)
+    rows = with_chunk(df, keys, order[0], seconds)
     totals = rows.groupBy(*keys, CHUNK).agg(
         *[_fold(kind, col).alias(f"_tot_{name}") for name, (kind, col) in specs.items()]
     )
@@ -238,7 +257,7 @@ def equity_curve(
     """
     w = chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = (
-        with_chunk(df, order[0], seconds)
+        with_chunk(df, keys, order[0], seconds)
         .withColumn("_eq", F.product(factor).over(w))
         .withColumn("_pk", F.max("_eq").over(w))
     )
