@@ -16,6 +16,10 @@ from barledger.operators import (
 )
 from barledger.plans import evaluation, testbed as tb
 from barledger.session import materialise
+from barledger.streaming.drain import drain
+from barledger.streaming.fold import stream_states
+from barledger.streaming.paper import stream_ledger as paper_stream
+from barledger.streaming.rollup import stream_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 K = ["symbol"]
@@ -625,3 +629,65 @@ def journal_status(spark, sf):
     keys = [*K, "candidate"]
     status = journal.journal_status(_journal(spark, sf), keys)
     return journal.public_view(status, keys).drop("tail_hash")
+
+
+@query
+def contract_verify(spark, sf):
+    """Contracts signed over yesterday's facts, checked against today's changed files."""
+    declared, current = tb.day_files(spark, sf)
+    freeze = F.expr(FREEZE)
+    keys = [*K, "path"]
+    digest = F.sha2(F.lit("producer"), 256)
+
+    def facts(files):
+        return files.select(
+            *keys, F.lit("paper_bars").alias("artifact_kind"), F.col("path").alias("artifact_name"),
+            F.col("sha256").alias("artifact_sha256"), F.length("path").cast("bigint").alias("artifact_bytes"),
+            F.lit(1).cast("bigint").alias("rows"), freeze.alias("first_timestamp"), freeze.alias("last_timestamp"),
+            F.lit("timestamp,open,close,target_exposure").alias("columns"), F.lit(True).alias("acceptable"),
+            F.lit("snapshot").alias("source_snapshot_id"), digest.alias("source_manifest_sha256"), digest.alias("gate_sha256"),
+            F.when(F.col("sha256") < "2", "FAIL").otherwise("PASS").alias("gate_status"), F.lit("full").alias("gate_mode"),
+            F.lit(gates.FULL_SCOPE).alias("gate_scope"), freeze.alias("gate_freeze"),
+            F.lit(False).alias("performance_evaluation_allowed"), F.lit(False).alias("judgement_allowed"),
+            F.lit("producer").alias("producer_name"), F.lit("v1").alias("producer_version"),
+            digest.alias("producer_code_sha256"), F.lit(None).cast("string").alias("parent_sha256"),
+        )
+
+    signed = provenance.build_contracts(facts(declared), freeze)
+    checked = provenance.verify_contracts(signed, facts(current), keys, freeze)
+    return checked.select(*keys, F.concat_ws(",", "problems").alias("problems"), "verified")
+
+
+# ---- streams: the incremental twins, drained to a table ----------------------
+
+
+def _live(df, *stamps):
+    """Stateful processors keep session-zone instants; convert at the border."""
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in stamps})
+
+
+def _plain(df, *stamps):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps})
+
+
+@query
+def stream_ab_trace(spark, sf):
+    """A/B states from a stream of events; equals the batch trace."""
+    events = _live(tb.tick_events(spark, sf, source=tb.stream_table), "ts")
+    return _plain(drain(stream_states(events, K), "trace"), "ts").filter("not late").drop("late")
+
+
+@query
+def stream_bars_15m(spark, sf):
+    """Bars from a stream of ticks. Bars the watermark has not passed stay open."""
+    live = _live(tb.ticks(spark, sf, source=tb.stream_table), "ts")
+    return _plain(drain(stream_bars(live, K, "15 minutes", "0 seconds"), "bars"), "open_time", "availability_time")
+
+
+@query
+def stream_ledger(spark, sf):
+    """The incremental ledger fed with landed execution bars; equals the batch ledger."""
+    keys = [*K, "candidate"]
+    landed = tb.land(_live(_tick_targets(spark, sf), "timestamp"), "targets")
+    out = drain(paper_stream(landed, keys), "paper")
+    return _plain(out, "timestamp").select(*keys, "timestamp", "status", "held_exposure", "turnover", "equity", "pending_target")

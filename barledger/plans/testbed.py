@@ -14,7 +14,7 @@ from barledger.functions.clock import with_availability
 from barledger.operators.campaign import EVENT_TYPES, ab_timeline, ab_trace
 from barledger.operators.candles import bars_from_ticks
 from barledger.operators.exposure import Policy
-from barledger.session import pin_runtime
+from barledger.session import materialise, pin_runtime
 
 TICK_BASE = 1000.0
 DAY_BASE = 1_000_000.0
@@ -26,8 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_runtime(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter(F.col("value") > 0)
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")  # a glob: one file or a folder
+
+
+def land(df: DataFrame, label: str) -> DataFrame:
+    """Write a batch result as files and follow the folder as a stream."""
+    written = materialise(df, label)
+    folder = written.inputFiles()[0].rsplit("/", 1)[0]
+    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+
+
+def ticks(spark: SparkSession, sf_dir: str, source=table) -> DataFrame:
+    e = source(spark, sf_dir, "events").filter(F.col("value") > 0)
     return e.select(
         F.col("event_type").alias("symbol"),
         "ts",
@@ -51,8 +64,8 @@ def bars_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_ticks(ticks(spark, sf_dir), ["symbol"], 60)
 
 
-def tick_events(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def tick_events(spark: SparkSession, sf_dir: str, key: str = "event_type", source=table) -> DataFrame:
+    e = source(spark, sf_dir, "events")
     return e.select(
         F.col(key).alias("symbol" if key == "event_type" else key),
         "ts",

@@ -605,4 +605,14 @@ ORACLE: dict[str, str] = {
     "journal_verify": with_(*TICK_X, NEXT_OPEN) + "SELECT symbol, candidate, count(*) AS records, 0::BIGINT AS bad_records FROM n4 GROUP BY symbol, candidate",
     "journal_status": with_(*TICK_X, NEXT_OPEN) + f"""SELECT symbol, candidate, count(*) AS seq, max(timestamp) AS last_timestamp, {r('arg_max(held_exposure, timestamp)', 'held_exposure')},
       {r('arg_max(target_exposure, timestamp)', 'pending_target')} FROM n4 GROUP BY symbol, candidate""",
+    "contract_verify": with_(TICKS, DAY_FILES, f"""cv AS (SELECT d.symbol, d.path, d.sha256 AS said, c.sha256 AS now FROM declared d LEFT JOIN current_ c ON d.symbol = c.symbol AND d.path = c.path),
+      cw AS (SELECT symbol, path, concat_ws(',', CASE WHEN said < '2' THEN 'SELF_HASH' END, CASE WHEN now IS NULL THEN 'ARTIFACT_MISSING' END,
+        CASE WHEN now <> said THEN 'ARTIFACT_SHA256' END, CASE WHEN (now < '2') <> (said < '2') THEN 'GATE_STATUS' END,
+        CASE WHEN now IS NULL THEN 'CONTENT_REFUSED,GATE_FREEZE,GATE_PERFORMANCE,GATE_JUDGEMENT' END) AS problems FROM cv)""")
+      + "SELECT symbol, path, problems, problems = '' AS verified FROM cw",
+    "stream_ab_trace": with_(*fold_of("tick")) + f"SELECT symbol, {TRACE_COLS} FROM st WHERE rn > 0",
+    # A stream closes a bar once its watermark, the latest tick seen, has passed the bar's end.
+    "stream_bars_15m": with_(TICKS, B15) + f"SELECT {BAR_COLS} FROM b15 WHERE availability_time <= (SELECT max(ts) FROM ticks)",
+    "stream_ledger": with_(*TICK_X, NEXT_OPEN) + f"""SELECT symbol, candidate, timestamp, 'PROCESSED' AS status, {r('held_exposure', 'held_exposure')}, {r('turnover', 'turnover')},
+      {r('equity', 'equity')}, {r('target_exposure', 'pending_target')} FROM n4""",
 }
