@@ -101,6 +101,9 @@ def fold_events(
         "ts",
         seconds,
     )
+    # Joins below need the span set; saying so here keeps one plan, hence one exchange.
+    span_no = F.floor(F.col(CHUNK) / F.lit(CHUNKS_PER_SPAN))
+    rows = rows.filter(span_no.isNotNull())
     number = F.row_number().over(chunk_window(keys, ["ts", "seq"]))
     pieces = (
         rows.withColumn("piece", F.floor((number - 1) / F.lit(PIECE)).cast("int"))
@@ -116,13 +119,16 @@ def fold_events(
     def ordered(position: str, m: Column) -> Column:
         return F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), m.alias("m"))))
 
+    # The maps are the costly part and both directions of the scan need them. Laying them
+    # out by span is an exchange of its own, which Spark computes once and reuses.
     chunks = (
         pieces.groupBy(*keys, CHUNK)
-        .agg(ordered("piece", piece_map).alias("pieces"))
-        .withColumn("_span", F.floor(F.col(CHUNK) / F.lit(CHUNKS_PER_SPAN)))
+        .agg(F.transform(ordered("piece", piece_map), lambda p: p["m"]).alias("maps"))
+        .withColumn("_span", span_no)
+        .repartition(*keys, "_span")
     )
     spans = chunks.groupBy(*keys, "_span").agg(
-        ordered(CHUNK, _compose(F.col("pieces.m"), machine.width)).alias("chunks")
+        ordered(CHUNK, _compose(F.col("maps"), machine.width)).alias("chunks")
     )
     span_starts = (
         spans.groupBy(*keys)
@@ -133,7 +139,7 @@ def fold_events(
         *keys, _hand_down("chunks", CHUNK, F.col("_s0"))
     )
     piece_starts = chunks.join(chunk_starts, [*keys, CHUNK]).select(
-        *keys, CHUNK, _starts(F.col("pieces.m"), F.col("_s0")).alias("_starts")
+        *keys, CHUNK, _starts(F.col("maps"), F.col("_s0")).alias("_starts")
     )
     replayed = pieces.join(piece_starts, [*keys, CHUNK]).select(
         *keys,

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from barledger.functions.digest import bar_hash, instant_text, number_text, plain_text, record_hash
 from barledger.operators.ledger import next_open_ledger
 from barledger.operators.ordered import BAR_CHUNK_SECONDS, CHUNK, chunk_of, previous_row, running
+from barledger.session import materialise
 
 SCHEMA_VERSION = 1
 TOLERANCE = 1e-9
@@ -79,6 +80,8 @@ def build_journal(
     """Journal records, one per bar, with chained ``record_hash``."""
     ledger = next_open_ledger(bars, keys, fee_bps, slippage_bps, seconds)
     rows = ledger.select(*keys, "timestamp", "open", "close", "target_exposure", "held_exposure", "turnover", "equity")
+    # Numbering and look-back each read the ledger twice; write it once instead.
+    rows = materialise(rows, "journal-ledger")
     rows = rows.withColumn("bar_hash", bar_hash(F.col("timestamp"), F.col("open"), F.col("close"), F.col("target_exposure")))
     rows = running(rows, keys, ["timestamp"], {"seq": ("sum", F.lit(1))}, seconds)
     rows = previous_row(rows.withColumn("state_after_hash", _after_hash()), keys, ["timestamp"], ["state_after_hash"], seconds)

@@ -27,8 +27,14 @@ from barledger.functions.clock import micros
 
 CHUNK = "_chunk"
 DAY = 86400
+# A series has one bar per clock tick: 30 days hold 2,880 bars of 15 minutes and at most
+# 2.6 million of one second.
 BAR_CHUNK_SECONDS = 30 * DAY
+# Events have no clock; plans measure their table (``suggest_chunk_seconds``) and pass the
+# width on. This is only the default of the bare operators.
 TICK_CHUNK_SECONDS = DAY
+# Most rows one (series, chunk) may hold when the width is measured.
+CHUNK_ROWS = 65_536
 
 
 def chunk_of(ts: Column, seconds: int) -> Column:
@@ -76,25 +82,19 @@ def suggest_chunk_seconds(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
-    max_rows: int = 1_000_000,
+    max_rows: int = CHUNK_ROWS,
     widths: Sequence[int] = (365 * DAY, 30 * DAY, DAY, 3600, 900, 60, 1),
 ) -> int:
     """Widest chunk whose fullest (series, chunk) stays within ``max_rows``.
 
-    One aggregation with map-side combine; a single number per width reaches the driver.
+    Tried from the widest down, so a table without a hot series costs one narrow scan.
+    Counts combine on the map side; one number per try reaches the driver. Below one
+    second the width stops: instants are microseconds and a valid event table holds each
+    (series, instant, type) once.
     """
-    stamps = df.select(*keys, F.col(ts).alias("_ts"))
-    finest = stamps.groupBy(*keys, chunk_of(F.col("_ts"), min(widths)).alias("_f")).agg(
-        F.count("*").alias("_n")
-    )
     for width in sorted(widths, reverse=True):
-        step = F.floor(F.col("_f") / F.lit(width // min(widths)))
-        top = (
-            finest.groupBy(*keys, step.alias("_w"))
-            .agg(F.sum("_n").alias("_n"))
-            .agg(F.max("_n"))
-            .first()[0]
-        )
+        counts = df.groupBy(*keys, chunk_of(F.col(ts), width).alias("_w")).count()
+        top = counts.agg(F.max("count")).first()[0]
         if top is None or top <= max_rows:
             return width
     return min(widths)

@@ -23,24 +23,44 @@ from barledger.operators.ledger import (
     by_candidate,
     execution_rows,
     next_open_ledger,
+    scenario_ledger,
 )
-from barledger.operators.ordered import BAR_CHUNK_SECONDS, TICK_CHUNK_SECONDS
+from barledger.operators.ordered import BAR_CHUNK_SECONDS, suggest_chunk_seconds
 from barledger.session import materialise
 
 
-def published_timeline(events: DataFrame, keys: Sequence[str], seconds: int = TICK_CHUNK_SECONDS) -> DataFrame:
-    """Fold the events once and write the numeric state columns."""
-    return materialise(ab_timeline(ab_trace(events, keys, seconds=seconds), keys), "timeline")
+def published_timeline(events: DataFrame, keys: Sequence[str], seconds: int | None = None) -> DataFrame:
+    """Fold the events once and write the numeric state columns.
 
+    Without a given chunk width the event table is measured first.
+    """
+    width = seconds or suggest_chunk_seconds(events, keys, "ts")
+    return materialise(ab_timeline(ab_trace(events, keys, seconds=width), keys), "timeline")
 
-def published_rows(bars: DataFrame, timeline: DataFrame, keys: Sequence[str], seconds: int = BAR_CHUNK_SECONDS) -> DataFrame:
+
+def line_width(timeline: DataFrame, keys: Sequence[str]) -> int:
+    """Chunk width for scans over bars and states together: bounded for both."""
+    return min(BAR_CHUNK_SECONDS, suggest_chunk_seconds(timeline, keys, "ts"))
+
+
+def published_rows(bars: DataFrame, timeline: DataFrame, keys: Sequence[str], seconds: int | None = None) -> DataFrame:
     """Numbered execution rows, written once for every report made from them."""
-    rows = execution_rows(bars, timeline, keys, seconds)
-    return materialise(evidence.numbered_rows(rows, keys, seconds), "execution")
+    width = seconds or line_width(timeline, keys)
+    rows = execution_rows(bars, timeline, keys, width)
+    return materialise(evidence.numbered_rows(rows, keys, width), "execution")
+
+
+def published_ledger(
+    bars: DataFrame, timeline: DataFrame, keys: Sequence[str], costs: Sequence[float] = (7.0,), seconds: int | None = None
+) -> DataFrame:
+    """The additive ledger of every (series, candidate, cost), from written execution rows."""
+    width = seconds or line_width(timeline, keys)
+    return scenario_ledger(published_rows(bars, timeline, keys, width), keys, costs, width)
 
 
-def target_bars(bars: DataFrame, timeline: DataFrame, keys: Sequence[str], seconds: int = BAR_CHUNK_SECONDS) -> DataFrame:
+def target_bars(bars: DataFrame, timeline: DataFrame, keys: Sequence[str], seconds: int | None = None) -> DataFrame:
     """Execution bars (candidate, timestamp, open, close, target_exposure) from known states."""
+    seconds = seconds or line_width(timeline, keys)
     known = asof_states(bars, timeline, keys, STATE_COLUMNS, seconds=seconds)
     options = F.array(
         *[
@@ -73,8 +93,8 @@ def evaluate(
     events: DataFrame,
     keys: Sequence[str],
     costs: Sequence[float] = evidence.COST_GRID,
-    event_seconds: int = TICK_CHUNK_SECONDS,
-    bar_seconds: int = BAR_CHUNK_SECONDS,
+    event_seconds: int | None = None,
+    bar_seconds: int | None = None,
 ) -> dict[str, DataFrame]:
     """All evidence tables of one venue; raises before performance when an invariant fails."""
     timeline = published_timeline(events, keys, event_seconds)

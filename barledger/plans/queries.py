@@ -354,23 +354,27 @@ def checksum_audit(spark, sf):
 
 @query
 def campaign_states_a(spark, sf):
-    return campaign.campaign_states(tb.tick_events(spark, sf), K, "A")
+    events = tb.tick_events(spark, sf)
+    return campaign.campaign_states(events, K, "A", seconds=ordered.suggest_chunk_seconds(events, K, "ts"))
 
 
 @query
 def campaign_states_b(spark, sf):
-    return campaign.campaign_states(tb.tick_events(spark, sf), K, "B")
+    events = tb.tick_events(spark, sf)
+    return campaign.campaign_states(events, K, "B", seconds=ordered.suggest_chunk_seconds(events, K, "ts"))
 
 
 @query
 def ab_trace(spark, sf):
-    return campaign.ab_trace(tb.tick_events(spark, sf), K)
+    events = tb.tick_events(spark, sf)
+    return campaign.ab_trace(events, K, seconds=ordered.suggest_chunk_seconds(events, K, "ts"))
 
 
 @query
 def ab_trace_users(spark, sf):
     """Many short series instead of a few long ones."""
-    return campaign.ab_trace(tb.tick_events(spark, sf, "user_id"), ["user_id"], seconds=30 * 86400)
+    events = tb.tick_events(spark, sf, "user_id")
+    return campaign.ab_trace(events, ["user_id"], seconds=ordered.suggest_chunk_seconds(events, ["user_id"], "ts"))
 
 
 def _tick_timeline(spark, sf):
@@ -378,12 +382,13 @@ def _tick_timeline(spark, sf):
 
 
 def _day_timeline(spark, sf):
-    return evaluation.published_timeline(tb.day_events(spark, sf), K, tb.DAILY_EVENT_CHUNK)
+    return evaluation.published_timeline(tb.day_events(spark, sf), K)
 
 
 @query
 def asof_states(spark, sf):
-    known = asof.asof_states(tb.bars_15m(spark, sf), _tick_timeline(spark, sf), K, ledger.STATE_COLUMNS)
+    line = _tick_timeline(spark, sf)
+    known = asof.asof_states(tb.bars_15m(spark, sf), line, K, ledger.STATE_COLUMNS, seconds=evaluation.line_width(line, K))
     return known.select(*K, "open_time", "availability_time", *ledger.STATE_COLUMNS)
 
 
@@ -423,12 +428,13 @@ def ledger_violations(spark, sf):
 
 @query
 def exec_ledger(spark, sf):
-    return ledger.candidate_ledger(tb.bars_1d(spark, sf), _day_timeline(spark, sf), K)
+    line = _day_timeline(spark, sf)
+    return ledger.candidate_ledger(tb.bars_1d(spark, sf), line, K, seconds=evaluation.line_width(line, K))
 
 
 @query
 def drawdown(spark, sf):
-    full = ledger.candidate_ledger(tb.bars_15m(spark, sf), _tick_timeline(spark, sf), K)
+    full = evaluation.published_ledger(tb.bars_15m(spark, sf), _tick_timeline(spark, sf), K)
     return full.groupBy(*K, "candidate").agg(F.min("drawdown").alias("max_drawdown"), F.max("equity").alias("peak"))
 
 
@@ -437,7 +443,8 @@ def _core(side: str):
 
 
 def _closes(spark, sf):
-    known = asof.asof_states(tb.bars_1d(spark, sf), _day_timeline(spark, sf), K, ledger.STATE_COLUMNS)
+    line = _day_timeline(spark, sf)
+    known = asof.asof_states(tb.bars_1d(spark, sf), line, K, ledger.STATE_COLUMNS, seconds=evaluation.line_width(line, K))
     return known.select(
         *K, F.col("availability_time").alias("timestamp"), "close",
         _core("a_side").alias("a_core"), _core("b_side").alias("b_core"), "direction",
@@ -542,7 +549,7 @@ def information_floor(spark, sf):
 
 @query
 def perf_summary(spark, sf):
-    full = ledger.candidate_ledger(tb.bars_1d(spark, sf), _day_timeline(spark, sf), K, evidence.COST_GRID)
+    full = evaluation.published_ledger(tb.bars_1d(spark, sf), _day_timeline(spark, sf), K, evidence.COST_GRID)
     return evidence.performance_summary(full, [*K, "candidate", "cost_bps"], DAYS_PER_YEAR)
 
 
