@@ -15,6 +15,7 @@ from barledger.operators.campaign import EVENT_TYPES
 from barledger.operators.candles import bars_from_ticks
 from barledger.operators.exposure import Policy
 from barledger.session import materialise, pin_runtime
+from barledger.sources.readers import MICRO_BATCH_BYTES
 
 TICK_BASE = 1000.0
 DAY_BASE = 1_000_000.0
@@ -27,14 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a file stream."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")  # a glob: one file or a folder
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", MICRO_BATCH_BYTES)
+    return reader.parquet(f"{sf_dir}/{name}.parquet*")  # a glob: one file or a folder
 
 
 def land(df: DataFrame, label: str) -> DataFrame:
     """Write a batch result as files and follow the folder as a stream."""
     written = materialise(df, label)
     folder = written.inputFiles()[0].rsplit("/", 1)[0]
-    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxBytesPerTrigger", MICRO_BATCH_BYTES).parquet(folder)
 
 
 def ticks(spark: SparkSession, sf_dir: str, source=table) -> DataFrame:

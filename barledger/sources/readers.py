@@ -108,8 +108,19 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return with_arrival(spark.read.schema(schemas.EVENT).option("header", True).option("mode", "FAILFAST").csv(path))
 
 
+# Keyed state handles the rows of one key per micro-batch together, so micro-batches are
+# bounded by size; a backlog is worked off batch by batch.
+MICRO_BATCH_BYTES = 256 * 1024 * 1024
+
+
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(schemas.EVENT).option("header", True).option("mode", "FAILFAST").csv(path)
+    return (
+        spark.readStream.schema(schemas.EVENT)
+        .option("header", True)
+        .option("mode", "FAILFAST")
+        .option("maxBytesPerTrigger", MICRO_BATCH_BYTES)
+        .csv(path)
+    )
 
 
 def normalise_timeline(raw: DataFrame, keys: Sequence[str], arrival: str = "src_order") -> DataFrame:
