@@ -101,11 +101,11 @@ def numbered_rows(rows: DataFrame, keys: Sequence[str], seconds: int = BAR_CHUNK
         },
         seconds,
     )
-    return (
-        out.withColumn("bear_epoch_id", F.when(F.col("direction") == -1, F.col("_bear")))
-        .withColumn("bull_epoch_id", F.when(F.col("direction") == 1, F.col("_bull")))
-        .drop("_bear", "_bull")
-    )
+    numbers = {
+        "bear_epoch_id": F.when(F.col("direction") == -1, F.col("_bear")),
+        "bull_epoch_id": F.when(F.col("direction") == 1, F.col("_bull")),
+    }
+    return out.withColumns(numbers).drop("_bear", "_bull")
 
 
 def bear_epochs(numbered: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -163,14 +163,12 @@ def _hand_down(maps: str, position: str, start: Column) -> Column:
 
 def decode(rows: DataFrame, machine: Machine) -> DataFrame:
     """Turn state numbers back into the label columns of the machine."""
-    out = rows.withColumn(
-        "event_type", F.get(_labels(machine.events), F.col("_event"))
-    )
+    columns = {"event_type": F.get(_labels(machine.events), F.col("_event"))}
     for name, by_event in machine.labels.items():
         flat = _labels([v for row in by_event for v in row])
         if name.endswith("last_action"):
             at = F.col("_event") * F.lit(machine.width) + F.col("_before")
         else:
             at = F.col("_after")
-        out = out.withColumn(name, F.get(flat, at))
-    return out.drop("_event", "_before", "_after")
+        columns[name] = F.get(flat, at)
+    return rows.withColumns(columns).drop("_event", "_before", "_after")

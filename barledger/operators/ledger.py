@@ -80,15 +80,15 @@ def _legs(bars: DataFrame, keys: Sequence[str], bps: float, seconds: int) -> Dat
     held = _prior("prev", "target_exposure")
     old = _prior("prev2", "target_exposure")
     gap = old * (F.try_divide(F.col("open"), F.col("prev.close")) - 1)
-    return (
-        rows.withColumn("held_exposure", held)
-        .withColumn("turnover", F.abs(held - old))
-        .withColumn("trade_cost", F.col("turnover") * (bps / 10000.0))
-        .withColumn("gap_return_component", F.coalesce(gap, F.lit(0.0)))
-        .withColumn(
-            "intrabar_return_component",
-            F.when(F.col("prev").isNull(), 0.0).otherwise(held * (F.try_divide("close", "open") - 1)),
-        )
+    intra = F.when(F.col("prev").isNull(), 0.0).otherwise(held * (F.try_divide("close", "open") - 1))
+    return rows.withColumns(
+        {
+            "held_exposure": held,
+            "turnover": F.abs(held - old),
+            "trade_cost": F.abs(held - old) * (bps / 10000.0),
+            "gap_return_component": F.coalesce(gap, F.lit(0.0)),
+            "intrabar_return_component": intra,
+        }
     )
 
 
@@ -128,33 +128,31 @@ def execution_rows(
     rows = bars_with_history(bars, timeline, keys, STATE_COLUMNS, seconds)
     gap = F.try_divide("open", F.col("prev.close")) - 1
     intra = F.try_divide("close", "open") - 1
-    out = rows
+    sides = {}
     for side in "ab":
         new, old = _prior("prev", f"{side}_side"), _prior("prev2", f"{side}_side")
-        out = out.withColumns(
-            {
-                f"{side}_target": F.col(f"now.{side}_side").cast("double"),
-                f"{side}_held": new,
-                f"{side}_turnover": F.abs(new - old),
-                f"{side}_gross": F.when(F.col("prev").isNull(), 0.0).otherwise(old * gap + new * intra),
-            }
-        )
-    apart = F.col("a_held") != F.col("b_held")
+        sides |= {
+            f"{side}_target": F.col(f"now.{side}_side").cast("double"),
+            f"{side}_held": new,
+            f"{side}_turnover": F.abs(new - old),
+            f"{side}_gross": F.when(F.col("prev").isNull(), 0.0).otherwise(old * gap + new * intra),
+        }
+    apart = _prior("prev", "a_side") != _prior("prev", "b_side")
     apart_before = _prior("prev2", "a_side") != _prior("prev2", "b_side")
     bear = F.col("now.direction") == -1
     bear_before = F.coalesce(F.col("prev.direction") == -1, F.lit(False))
     bull = F.col("now.direction") == 1
     bull_before = F.coalesce(F.col("prev.direction") == 1, F.lit(False))
-    return (
-        out.withColumn("direction", F.col("now.direction"))
-        .withColumn("at_risk", F.col("now.at_risk") == 1)
-        .withColumn("divergent", apart)
-        .withColumn("in_segment", apart | apart_before)
-        .withColumn("segment_start", (apart & ~apart_before).cast("int"))
-        .withColumn("bear_start", (bear & ~bear_before).cast("int"))
-        .withColumn("bull_start", (bull & ~bull_before).cast("int"))
-        .drop("now", "prev", "prev2")
-    )
+    flags = {
+        "direction": F.col("now.direction"),
+        "at_risk": F.col("now.at_risk") == 1,
+        "divergent": apart,
+        "in_segment": apart | apart_before,
+        "segment_start": (apart & ~apart_before).cast("int"),
+        "bear_start": (bear & ~bear_before).cast("int"),
+        "bull_start": (bull & ~bull_before).cast("int"),
+    }
+    return rows.withColumns(sides | flags).drop("now", "prev", "prev2")
 
 
 def net_of_cost(side: str, bps: float | Column) -> Column:

@@ -18,6 +18,8 @@ first attempt.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,9 +52,7 @@ def strict(df: DataFrame, names: Sequence[str]) -> DataFrame:
     whole = df.withColumns(
         {n: F.coalesce(F.col(n), F.raise_error(F.lit(f"null {n} in an ordered scan"))) for n in names}
     )
-    for n in names:
-        whole = whole.filter(F.col(n).isNotNull())
-    return whole
+    return whole.filter(reduce(and_, [F.col(n).isNotNull() for n in names]))
 
 
 def with_chunk(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
