@@ -30,7 +30,12 @@ def main() -> None:
     names = chosen.split(",") if chosen else HEADLINE
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g"},
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "12g",
+            # The test tables are small: keep several tasks per stage instead of one.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["bars_15m"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # JVM warm-up
