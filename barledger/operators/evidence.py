@@ -210,12 +210,11 @@ def mechanism_label(
     segments: DataFrame,
     spans: DataFrame,
     keys: Sequence[str],
-    span_keys: Sequence[str],
     floor: tuple[int, int, int] = (MIN_DAYS, MIN_SEGMENTS, MIN_EPOCHS),
 ) -> DataFrame:
-    """One labelled row per scenario.
+    """One labelled row per scenario, also for scenarios without any segment.
 
-    ``spans`` has (span_keys, first_at, last_at); ``keys`` may add the cost to them.
+    ``spans`` (keys, first_at, last_at) lists the scenarios; see ``bar_spans``.
     The smallest leave-one-out remainder is total minus the largest epoch.
     """
     in_epoch = F.col("bear_epoch_id").isNotNull()
@@ -226,7 +225,7 @@ def mechanism_label(
         F.count_if(in_epoch & (F.col("delta") > 0)).alias("positive_epochs"),
         F.max(F.when(in_epoch, F.col("delta"))).alias("_largest"),
     )
-    out = spans.join(per, list(span_keys), "left").fillna(
+    out = spans.join(per, list(keys), "left").fillna(
         0, ["divergence_segments", "bear_epochs", "positive_epochs"]
     ).fillna(0.0, ["total_paired_delta_log"])
     total, n, pos = F.col("total_paired_delta_log"), F.col("bear_epochs"), F.col("positive_epochs")
@@ -252,9 +251,13 @@ def mechanism_label(
     )
 
 
-def bar_spans(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
+def bar_spans(bars: DataFrame, keys: Sequence[str], costs: Sequence[float] = ()) -> DataFrame:
+    """History extent per series, or per (series, cost) when costs are given."""
     at = F.col("availability_time")
-    return bars.groupBy(*keys).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+    spans = bars.groupBy(*keys).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+    if not costs:
+        return spans
+    return spans.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
 
 
 def venue_consistency(labels: DataFrame, locked: Mapping[str, str], key: str) -> DataFrame:

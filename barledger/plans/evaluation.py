@@ -111,5 +111,5 @@ def evaluate(
         "segments": segments,
         "epochs": evidence.epochs(segments, by_cost),
         "leave_one_out": evidence.leave_one_out(segments, by_cost),
-        "labels": evidence.mechanism_label(segments, evidence.bar_spans(bars, keys), by_cost, keys),
+        "labels": evidence.mechanism_label(segments, evidence.bar_spans(bars, keys, costs), by_cost),
     }

@@ -501,19 +501,19 @@ def loeo(spark, sf):
 @query
 def mechanism_label(spark, sf):
     spans = evidence.bar_spans(tb.bars_1d(spark, sf), K)
-    return evidence.mechanism_label(_day_segments(spark, sf), spans, K, K)
+    return evidence.mechanism_label(_day_segments(spark, sf), spans, K)
 
 
 @query
 def cost_stress(spark, sf):
-    spans = evidence.bar_spans(tb.bars_1d(spark, sf), K)
-    return evidence.mechanism_label(_day_segments(spark, sf, evidence.COST_GRID), spans, [*K, "cost_bps"], K)
+    spans = evidence.bar_spans(tb.bars_1d(spark, sf), K, evidence.COST_GRID)
+    return evidence.mechanism_label(_day_segments(spark, sf, evidence.COST_GRID), spans, [*K, "cost_bps"])
 
 
 @query
 def venue_consistency(spark, sf):
     spans = evidence.bar_spans(tb.bars_1d(spark, sf), K)
-    labels = evidence.mechanism_label(_day_segments(spark, sf), spans, K, K)
+    labels = evidence.mechanism_label(_day_segments(spark, sf), spans, K)
     return evidence.venue_consistency(labels, LOCKED, "symbol").select(*K, "label", "locked_label", "venue_consistency")
 
 

@@ -129,7 +129,7 @@ def test_sign_flip_is_exact(spark):
 def test_label_rules(spark):
     seg = spark.createDataFrame([("s", i, i % 4, 0.1) for i in range(8)], "s string, segment_id int, bear_epoch_id int, paired_delta_log double")
     spans = lambda days: spark.createDataFrame([("s", datetime(2024, 1, 1), datetime(2024, 1, 1) + timedelta(days=days))], "s string, first_at timestamp, last_at timestamp")
-    label = lambda s, d: evidence.mechanism_label(s, spans(d), K, K).first()
+    label = lambda s, d: evidence.mechanism_label(s, spans(d), K).first()
     assert label(seg, 180).label == evidence.SUPPORT
     assert label(seg, 180).loeo_status == "LOEO_ROBUST_POSITIVE"
     assert label(seg, 179).label == evidence.INSUFFICIENT
