@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +37,28 @@ def build_session(
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package's source to the Python workers, once per application.
+
+    Functions that run in workers are found there by name, so workers need the package
+    wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        source = Path(__file__).resolve().parent
+        archive = os.path.join(tempfile.mkdtemp(prefix="barledger-src-"), "barledger_src.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(source.rglob("*.py")):
+                out.write(path, path.relative_to(source.parent))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return spark
 
 
 def pin_runtime(spark: SparkSession) -> SparkSession:
@@ -46,10 +69,17 @@ def pin_runtime(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch one only when it names none."""
+    """The shared folder the cluster names; a scratch one only in local mode.
+
+    A folder on the driver's machine is shared with all tasks only when they run there
+    too, so any other master has to name a folder in spark.checkpoint.dir.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     scratch = tempfile.mkdtemp(prefix="barledger-ckpt-")
     spark.conf.set("spark.checkpoint.dir", scratch)
     return scratch

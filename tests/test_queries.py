@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from oracle import ORACLE
+from barledger.plans.queries import QUERIES
 from barledger.plans import testbed as tb
 from barledger.plans.evaluation import evaluate
 
@@ -16,7 +18,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
