@@ -14,3 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def published(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts lineage, survives lost executors."""
     return materialise(df, f"llm-{label}")
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name like `base` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
