@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barledger.llm import decontaminate, line_templates, minhash, quality, sampled_pieces
+from barledger.llm import (
+    decontaminate, embedding, html_text, line_templates, minhash, quality, sampled_pieces, token_blocks, token_counts, warc,
+)
 from barledger.llm.tables import table
 
 
@@ -15,10 +17,23 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archive(*warc.write_archive(table(spark, sf_dir, "pages"))).withColumnRenamed("record_id", "page_id")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, ranks = token_blocks.write_blocks(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return token_blocks.read_blocks(blocks, ranks).drop("ids")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_lines(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", "text")
@@ -32,6 +47,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,9 +62,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE: dict[str, str] = {}
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_token_blocks": op3_token_blocks,
+    "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash": op6_minhash,
     "op7_quality": op7_quality,
+    "op8_html_text": op8_html_text,
+    "op9_embedding": op9_embedding,
     "op10_decontamination": op10_decontamination,
 }
