@@ -111,7 +111,7 @@ def _packer(dims: int):
 def _boxes(blocks: DataFrame, level: int) -> DataFrame:
     """Bounding boxes of the intervals of FAN_OUT ** level blocks."""
     size = FAN_OUT**level
-    edges = [F.array(*(f(F.col(c)[k]) for k in range(BOXED))).alias(c) for c, f in (("low", F.min), ("high", F.max))]
+    edges = [F.array(*(f(F.get(c, F.lit(k))) for k in range(BOXED))).alias(c) for c, f in (("low", F.min), ("high", F.max))]
     return blocks.groupBy(F.floor(F.col("seq") / size).alias("interval")).agg(*edges)
 
 

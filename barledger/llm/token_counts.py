@@ -134,8 +134,9 @@ def count_sections(docs: DataFrame, tokenizer: str, rule: str = "majority") -> D
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
-    bounds = [F.transform("sections", lambda s, end=end: s[end].cast("long")).alias(end) for end in ("start", "stop")]
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *bounds).mapInArrow(
+    starts = F.transform("sections", lambda s: s["start"].cast("long")).alias("starts")
+    stops = F.transform("sections", lambda s: s["stop"].cast("long")).alias("stops")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), starts, stops).mapInArrow(
         _counter(tokenizer, rule, False), _COUNTS)
 
 
