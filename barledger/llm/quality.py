@@ -139,7 +139,8 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> M
             negative = s_u.mean() - prior * s_p.mean()
             rest = pull(at_u, up_u) - prior * pull(at_p, up_p)
             grad = rest - prior * pull(at_p, up_p) if negative >= 0 else -rest
-        grad = grad + 1e-4 * w
+        # A bin that a single unlabelled text falls into can't earn much of a weight.
+        grad = grad + 0.5 / len(at_u) * w
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         model.weights = w - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return model
