@@ -8,9 +8,11 @@
 3. A pair's signatures are compared batch by batch. After each batch the posterior
    probability that the similarity reaches the threshold is bounded; below `miss` the
    pair is dropped. Survivors are verified on their full shingle sets.
-4. Members that a star leaves outside their bucket's main component are then compared
-   with all members outside their own component, so that no link between components is
-   lost. Nothing is capped.
+4. Members that a star leaves outside their bucket's main component are then held against
+   all members of other components. Prefix filtering finds these pairs exactly: with all
+   shingles ordered from rare to common, linked sets share one of the first quarter of
+   each. A text whose own changes fill that quarter therefore meets nobody. Nothing is
+   capped.
 
 The probability that a link at exactly 0.75 shares none of the 32 bands of four values
 is (1 - 0.75^4)^32, five in a million; the miss probability of the pruning comes on top.
@@ -24,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from barledger.llm import kernel
 from barledger.llm.components import connected_components
@@ -202,6 +204,50 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = kernel.text_bytes(batch.column(1))
+        for a, b in kernel.groups(offsets):
+            value, first = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            size = np.diff(first)
+            rep = np.repeat(batch.column(0).to_numpy()[a:b], size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_signed(value)), pa.array(rep), pa.array(np.repeat(size, size))], names=["shingle", "rep", "size"])
+
+
+def prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a > b) of an outside member and a member of another component that can be linked.
+
+    members(rep, component, outside) are unique; texts(rep, text) has them all. Two sets
+    of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each in any
+    order that is the same for all; here rarest first, by number of members. They have at
+    least t / (1 + t) * (n + m) shingles in common, and after a first common one at the
+    i-th and j-th place at most min(n - i, m - j) more.
+    """
+    held = texts.join(members, "rep", "left_semi").select("rep", "text").mapInArrow(
+        _shingle_batches, "shingle long, rep long, size long")
+    held = published(held, "shingles")
+    common = held.groupBy("shingle").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("rep").orderBy("n", "shingle"))
+    prefix = (
+        held.join(common, "shingle").withColumn("nth", nth)
+        .where(F.col("nth") <= F.col("size") - F.ceil(F.col("size") * PERCENT / F.lit(100)) + 1).where("n > 1")
+        .join(members, "rep").select("shingle", "rep", "component", "outside", "size", "nth")
+    )
+    prefix = published(prefix, "prefixes")
+    x, y = (
+        rows.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "size", "nth")))
+        for rows, side in ((prefix.where("outside"), "x"), (prefix, "y"))
+    )
+    most = F.least(F.col("size_x") - F.col("nth_x"), F.col("size_y") - F.col("nth_y")) + 1
+    enough = most * (100 + PERCENT) >= (F.col("size_x") + F.col("size_y")) * PERCENT
+    return (
+        x.join(y, "shingle").where((F.col("component_x") != F.col("component_y")) & enough)
+        .select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y"))
+        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    )
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components so far."""
     for end in ("a", "b"):
@@ -246,21 +292,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = published(links.unionByName(verified(rest, texts)), "links")
     comps = connected_components(links)
 
-    # Exhaustive for what stars leave apart: members outside a bucket's main component
-    # against every member of the bucket that lies in another component.
+    # For what stars leave apart: members outside a bucket's main component against all
+    # members of mixed buckets that lie in another component.
     placed = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     mixed = published(placed.join(mixed.select("key", "main"), "key"), "mixed")
-    outside = mixed.where("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    crossing = (
-        outside.join(mixed.select("key", F.col("rep").alias("y"), F.col("component").alias("cy")), "key").where("cx <> cy")
-        .select(F.least("x", "y").alias("b"), F.greatest("x", "y").alias("a")).distinct()
-        .join(star, ["a", "b"], "left_anti")
+    crossing = prefix_pairs(
+        mixed.groupBy("rep").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("outside")),
+        texts,
     )
-    more = verified(published(plausible(crossing, reps), "crossing"), texts)
+    more = verified(published(plausible(crossing.join(star, ["a", "b"], "left_anti"), reps), "crossing"), texts)
     comps = connected_components(links.unionByName(more))
 
     classes = reps.select("set_a", "set_b", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
