@@ -34,7 +34,7 @@ MARK = 0x2581
 #: Stands for a space mark that is in the text itself, which only byte pieces can say.
 _LITERAL_MARK = 0x110000
 _FILTER_BITS = 20
-GROUP_CHARS = 3 << 19
+GROUP_CHARS = 1 << 20
 
 
 class Pieces:
@@ -243,20 +243,40 @@ def row_keys(ids: pa.Array) -> np.ndarray:
     return kernel.mix(np.asarray(ids.fill_null(-1)).astype(np.int64).view(np.uint64))
 
 
+def _groups(batch: pa.RecordBatch, table: Pieces) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows with their ids and numbers of ids."""
+    texts = batch.column(1).cast(pa.large_string()).fill_null("")
+    keys = row_keys(batch.column(0))
+    bounds = np.cumsum(np.concatenate([[0], np.asarray(pc.binary_length(texts))]))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + GROUP_CHARS, side="right")) - 1)
+        yield batch.slice(at, to - at), *encode(table, texts[at:to], keys[at:to])
+        at = to
+
+
+def _lists(ids: np.ndarray, count: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(ids))
+
+
 def _encoder(path: str, alpha: float):
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(path, alpha)
         for batch in found:
-            texts = batch.column(1).cast(pa.large_string()).fill_null("")
-            keys = row_keys(batch.column(0))
-            bounds = np.cumsum(np.concatenate([[0], np.asarray(pc.binary_length(texts))]))
-            at = 0
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + GROUP_CHARS, side="right")) - 1)
-                ids, count = encode(table, texts[at:to], keys[at:to])
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], batch.column(1)[at:to], lists], names=["doc_id", "text", "ids"])
-                at = to
+            for rows, ids, count in _groups(batch, table):
+                yield pa.RecordBatch.from_arrays([*rows.columns, _lists(ids, count)], names=["doc_id", "text", "ids"])
+
+    return batches
+
+
+def _round_tripper(path: str, alpha: float):
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces(path, alpha)
+        for batch in found:
+            for rows, ids, count in _groups(batch, table):
+                same = pc.equal(pa.array(decode(table, ids, count), pa.string()), rows.column(1).fill_null(""))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), _lists(ids, count), pa.array(count), same], names=["doc_id", "ids", "n_ids", "lossless"])
 
     return batches
 
@@ -292,9 +312,6 @@ def decode_ids(encoded: DataFrame, model: str, alpha: float = ALPHA) -> DataFram
 
 
 def round_trip(docs: DataFrame, model: str, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, ids, n_ids, lossless: encoded and decoded again, row by row."""
-    encoded = encode_sampled(docs, model, alpha)
-    back = encoded.select("doc_id", "ids", "text").mapInArrow(
-        _decoder(model, alpha), "doc_id long, ids array<int>, text string, decoded string")
-    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"),
-                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    """doc_id, ids, n_ids, lossless: every row encoded, decoded from its ids, and compared."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        _round_tripper(model, alpha), "doc_id long, ids array<int>, n_ids long, lossless boolean")
