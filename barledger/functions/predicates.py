@@ -43,3 +43,12 @@ def checksum_token(text: Column) -> Column:
     """First token of the first line of a checksum file; '*' marks count as blanks."""
     first_line = F.regexp_extract(F.trim(text), r"^([^\r\n]*)", 1)
     return F.lower(F.regexp_extract(F.translate(first_line, "*", " "), r"(\S+)", 1))
+
+
+def log_return(net: Column) -> Column:
+    """log(1 + net). A missing net return, or one of -100 % or worse, has no logarithm and stops the job.
+
+    A null would be skipped by every sum, so that the worst bar vanished from the results.
+    """
+    stop = F.raise_error(F.concat(F.lit("no log return of "), F.coalesce(net.cast("string"), F.lit("a missing return")))).cast("double")
+    return F.when(net > -1, F.log1p(net)).otherwise(stop)

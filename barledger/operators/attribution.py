@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barledger.checks import IntegrityError
 from barledger.operators.ordered import BAR_CHUNK_SECONDS, previous_row, running
 
-MAX_SIGNFLIP_EPOCHS = 20
+#: 2^22 half sums are 32 MB.
+MAX_SIGNFLIP_EPOCHS = 44
 
 
 def venue_agreement(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str = "paired_delta_log") -> DataFrame:
@@ -27,38 +29,42 @@ def venue_agreement(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str
     )
 
 
-def sign_flip_p(
-    epochs: DataFrame, keys: Sequence[str], max_epochs: int = MAX_SIGNFLIP_EPOCHS
-) -> DataFrame:
+def _count_flips(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Share of sign patterns whose absolute sum reaches the observed one, from two half sums.
+
+    Patterns come in opposite pairs, so those with a sum of at least t are counted and
+    doubled. For every sum of one half, a binary search in the sorted sums of the other
+    half counts its partners: 2^(n/2) work instead of 2^n.
+    """
+    deltas = np.sort(rows["paired_delta_log"].to_numpy(float))
+    observed = deltas.sum()
+    halves = []
+    for part in (deltas[::2], deltas[1::2]):
+        sums = np.zeros(1)
+        for d in part:
+            sums = np.concatenate([sums + d, sums - d])
+        halves.append(np.sort(sums))
+    least = abs(observed) - 1e-12
+    reached = sum(len(halves[1]) - np.searchsorted(halves[1], least - halves[0], side="left"))
+    total = 2.0 ** len(deltas)
+    share = 1.0 if least <= 0 else min(1.0, 2.0 * reached / total)
+    return pd.DataFrame([[*key, len(deltas), observed, share]])
+
+
+def sign_flip_p(epochs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Exact two-sided sign-flip p over the epochs of each series.
 
-    A series with n epochs has 2^n sign patterns, so the exact test is only meant for a
-    handful of epochs; series above ``max_epochs`` are reported with a null p and their
-    count. Distinct absolute sums are built up epoch by epoch as an array of 2^n values.
+    All 2^n patterns of n epochs count, met in the middle. A series with more than
+    ``MAX_SIGNFLIP_EPOCHS`` epochs stops the job: half its patterns would not fit into a
+    task, and a p from anything less would not be exact.
     """
-    if max_epochs > MAX_SIGNFLIP_EPOCHS:
-        raise IntegrityError(f"exact sign flips are limited to {MAX_SIGNFLIP_EPOCHS} epochs")
-    counts = epochs.groupBy(*keys).agg(
-        F.count("*").alias("epochs"), F.sum("paired_delta_log").alias("observed")
-    )
-    small = counts.filter(F.col("epochs") <= max_epochs).select(*keys)
-    # At most max_epochs values per series are collected here.
-    lists = epochs.join(small, list(keys), "left_semi").groupBy(*keys).agg(
-        F.sort_array(F.collect_list("paired_delta_log")).alias("deltas")
-    )
-    patterns = lists.select(
-        *keys, "deltas", F.explode(F.expr("sequence(0L, shiftleft(1L, size(deltas)) - 1L)")).alias("pattern")
-    )
-    flipped = F.expr(
-        "aggregate(transform(deltas, (d, i) -> if((shiftright(pattern, i) & 1L) = 1L, -d, d)), 0D, (s, d) -> s + d)"
-    )
-    sums = patterns.select(*keys, flipped.alias("total"))
-    share = (
-        sums.join(counts.select(*keys, "observed"), list(keys))
-        .groupBy(*keys)
-        .agg(F.avg((F.abs("total") >= F.abs(F.col("observed")) - 1e-12).cast("double")).alias("p_value"))
-    )
-    return counts.join(share, list(keys), "left")
+    counts = epochs.groupBy(*keys).agg(F.count("*").alias("_n"))
+    few = F.when(F.col("_n") <= MAX_SIGNFLIP_EPOCHS, F.col("paired_delta_log")).otherwise(
+        F.raise_error(F.concat(F.lit("too many epochs for an exact sign flip: "), F.col("_n").cast("string"))).cast("double"))
+    # The check stands before the grouping, so no group larger than that is ever built.
+    rows = epochs.select(*keys, "paired_delta_log").join(counts, list(keys)).select(*keys, few.alias("paired_delta_log"))
+    types = ", ".join(f"{k} {epochs.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).applyInPandas(_count_flips, f"{types}, epochs bigint, observed double, p_value double")
 
 
 def campaigns(ledger: DataFrame, keys: Sequence[str], seconds: int = BAR_CHUNK_SECONDS) -> DataFrame:

@@ -24,14 +24,20 @@ def _ohlcv(at: Column, open_: Column, close: Column) -> list[Column]:
     ]
 
 
+def tick_order(ticks: DataFrame) -> Column:
+    """Ticks at one instant are ordered by their seq, where they have one."""
+    return F.struct("ts", "seq") if "seq" in ticks.columns else F.col("ts")
+
+
 def bars_from_ticks(ticks: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
-    """Ticks (ts, price, qty) to left-closed bars labelled by open time."""
+    """Ticks (ts, seq, price, qty) to left-closed bars labelled by open time."""
+    at = tick_order(ticks)
     slot = F.window("ts", f"{seconds} seconds")["start"].alias("open_time")
     bars = ticks.groupBy(*keys, slot).agg(
-        F.min_by("price", "ts").alias("open"),
+        F.min_by("price", at).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "ts").alias("close"),
+        F.max_by("price", at).alias("close"),
         F.sum("qty").alias("volume"),
         F.count("*").alias("number_of_trades"),
     )

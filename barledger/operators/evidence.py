@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barledger.checks import require_columns, unpivot_counts, violations
+from barledger.functions.predicates import log_return
 from barledger.operators.ledger import net_of_cost
 from barledger.operators.ordered import BAR_CHUNK_SECONDS, DAY, previous_row, running
 
@@ -127,7 +128,7 @@ def divergence_segments(
     sums = []
     for i, bps in enumerate(costs):
         for side in "ab":
-            sums.append(F.sum(F.log1p(net_of_cost(side, float(bps)))).alias(f"_{side}{i}"))
+            sums.append(F.sum(log_return(net_of_cost(side, float(bps)))).alias(f"_{side}{i}"))
     at_start = F.when(F.col("segment_start") == 1, F.col("bear_epoch_id"))
     grouped = (
         numbered.filter("in_segment")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barledger.checks import IntegrityError, require_columns, violations
-from barledger.functions.predicates import finite_double
+from barledger.functions.predicates import finite_double, log_return
 from barledger.operators.asof import bars_with_history
 from barledger.operators.campaign import core_exposure
 from barledger.operators.ordered import (
@@ -76,7 +76,7 @@ def ledger_violations(
 
 
 def _legs(bars: DataFrame, keys: Sequence[str], bps: float, seconds: int) -> DataFrame:
-    rows = previous_two_rows(bars, keys, ["timestamp"], ["target_exposure", "close"], seconds)
+    rows = previous_two_rows(bars, keys, ["timestamp"], ["timestamp", "target_exposure", "close"], seconds)
     held = _prior("prev", "target_exposure")
     old = _prior("prev2", "target_exposure")
     gap = old * (F.try_divide(F.col("open"), F.col("prev.close")) - 1)
@@ -92,6 +92,22 @@ def _legs(bars: DataFrame, keys: Sequence[str], bps: float, seconds: int) -> Dat
     )
 
 
+def _refused(legs: DataFrame) -> DataFrame:
+    """The legs, or a stop at the first one that no ledger may be built on."""
+    faults = {
+        "non-finite or missing input": F.col("open").isNull() | F.col("close").isNull() | F.col("target_exposure").isNull(),
+        "a price that is not positive": (F.col("open") <= 0) | (F.col("close") <= 0),
+        "two bars at one instant": F.coalesce(F.col("prev.timestamp") == F.col("timestamp"), F.lit(False)),
+        "a cost that takes all": F.col("trade_cost") >= 1,
+        "negative wealth": (1 + F.col("gap_return_component") < 0) | (1 + F.col("intrabar_return_component") < 0),
+    }
+    turnover = F.col("turnover")
+    for fault, found in reversed(faults.items()):  # the first fault named is the one that is reported
+        stop = F.raise_error(F.concat(F.lit(f"ledger refused, {fault} at "), F.col("timestamp").cast("string"))).cast("double")
+        turnover = F.when(found, stop).otherwise(turnover)
+    return legs.withColumn("turnover", turnover)
+
+
 def next_open_ledger(
     df: DataFrame,
     keys: Sequence[str],
@@ -99,10 +115,15 @@ def next_open_ledger(
     slippage_bps: float = 0.0,
     seconds: int = BAR_CHUNK_SECONDS,
 ) -> DataFrame:
-    """Targets known at a close fill at the next observed open; wealth legs compound."""
+    """Targets known at a close fill at the next observed open; wealth legs compound.
+
+    Bad input stops the job: missing or non-finite values, prices that are not positive,
+    two bars at one instant, a cost that takes all, and a leg below zero wealth.
+    ``ledger_violations`` counts the same faults as rows.
+    """
     if fee_bps < 0 or slippage_bps < 0:
         raise IntegrityError("cost assumptions must be non-negative")
-    legs = _legs(execution_bars(df, keys), keys, fee_bps + slippage_bps, seconds)
+    legs = _refused(_legs(execution_bars(df, keys), keys, fee_bps + slippage_bps, seconds))
     gap = 1 + F.col("gap_return_component")
     intra = 1 + F.col("intrabar_return_component")
     first = F.col("prev").isNull()
@@ -202,7 +223,7 @@ def scenario_ledger(
     rows = by_candidate(rows, keys, costs)
     scenario = [*keys, "candidate", "cost_bps"]
     out = equity_curve(rows, scenario, ["availability_time"], 1 + F.col("net_return"), seconds)
-    return out.withColumn("log_net", F.log1p("net_return")).drop(CHUNK, "peak")
+    return out.withColumn("log_net", log_return(F.col("net_return"))).drop(CHUNK, "peak")
 
 
 def close_ledger(
@@ -226,7 +247,7 @@ def close_ledger(
     for side in "ab":
         old = _prior("prev", f"{side}_exposure")
         net = old * ret - F.abs(F.col(f"{side}_exposure") - old) * half
-        out = out.withColumn(f"{side}_log_net", F.log1p(net))
+        out = out.withColumn(f"{side}_log_net", log_return(net))
     apart = F.col("a_core") != F.col("b_core")
     apart_before = F.coalesce(F.col("prev.a_exposure") != F.col("prev.b_exposure"), F.lit(False))
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,10 @@ from barledger.operators import (
 )
 from barledger.plans import evaluation, testbed as tb
 from barledger.session import materialise
-from barledger.streaming.drain import drain
+from barledger.streaming.drain import Closing, drain, series_of
 from barledger.streaming.fold import stream_states
 from barledger.streaming.paper import stream_ledger as paper_stream
-from barledger.streaming.rollup import stream_bars
+from barledger.streaming.rollup import closing_tick, real_bars, stream_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 K = ["symbol"]
@@ -531,10 +532,8 @@ def venue_agreement(spark, sf):
 
 @query
 def signflip(spark, sf):
-    """Exact sign-flip p per symbol and month over the divergence epochs starting in it."""
-    seg = _day_segments(spark, sf).withColumn("month", clock.month_key(F.col("start")))
-    keys = [*K, "month"]
-    return attribution.sign_flip_p(evidence.epochs(seg, keys), keys)
+    """Exact sign-flip p per symbol over all its divergence epochs."""
+    return attribution.sign_flip_p(evidence.epochs(_day_segments(spark, sf), K), K)
 
 
 @query
@@ -679,22 +678,34 @@ def _plain(df, *stamps):
 
 @query
 def stream_ab_trace(spark, sf):
-    """A/B states from a stream of events; equals the batch trace."""
+    """A/B states from a stream of events, whatever the order of its files; equals the batch trace."""
+    ended = series_of(tb.tick_events(spark, sf), K)
+    closing = Closing(spark, "symbol string, closes boolean", "trace")
     events = _live(tb.tick_events(spark, sf, source=tb.stream_table), "ts")
-    return _plain(drain(stream_states(events, K), "trace"), "ts").filter("not late").drop("late")
+    trace = stream_states(events, K, lateness_seconds=math.inf, closing=closing.stream())
+    return _plain(drain(trace, "trace", closing, [ended]), "ts").drop("late")
 
 
 @query
 def stream_bars_15m(spark, sf):
-    """Bars from a stream of ticks. Bars the watermark has not passed stay open."""
+    """Bars from a stream of ticks. Nothing is late within the span of the table."""
+    ends = tb.ticks(spark, sf).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    lateness = f"{int((ends.b - ends.a).total_seconds()) + 1 if ends.a else 0} seconds"
     live = _live(tb.ticks(spark, sf, source=tb.stream_table), "ts")
-    return _plain(drain(stream_bars(live, K, "15 minutes", "0 seconds"), "bars"), "open_time", "availability_time")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in live.schema.fields)
+    closing = Closing(spark, types, "bars")
+    bars = real_bars(stream_bars(live.unionByName(closing.stream()), K, "15 minutes", lateness))
+    # The second one lets the stream see the watermark that the first has moved.
+    tick = closing_tick(live)
+    return _plain(drain(bars, "bars", closing, [tick, tick]), "open_time", "availability_time")
 
 
 @query
 def stream_ledger(spark, sf):
-    """The incremental ledger fed with landed execution bars; equals the batch ledger."""
+    """The incremental ledger fed with landed execution bars in any order; equals the batch ledger."""
     keys = [*K, "candidate"]
-    landed = tb.land(_live(_tick_targets(spark, sf), "timestamp"), "targets")
-    out = drain(paper_stream(landed, keys), "paper")
+    targets = materialise(_live(_tick_targets(spark, sf), "timestamp"), "targets")
+    closing = Closing(spark, "symbol string, candidate string, closes boolean", "paper")
+    actions = paper_stream(tb.follow(targets), keys, lateness_seconds=math.inf, closing=closing.stream())
+    out = drain(actions, "paper", closing, [series_of(targets, keys)])
     return _plain(out, "timestamp").select(*keys, "timestamp", "status", "held_exposure", "turnover", "equity", "pending_target")

@@ -14,7 +14,7 @@ from barledger.functions.clock import with_availability
 from barledger.operators.campaign import EVENT_TYPES
 from barledger.operators.candles import bars_from_ticks
 from barledger.operators.exposure import Policy
-from barledger.session import materialise, pin_runtime
+from barledger.session import pin_runtime, ship_package
 from barledger.sources.readers import MICRO_BATCH_BYTES
 
 TICK_BASE = 1000.0
@@ -22,7 +22,7 @@ DAY_BASE = 1_000_000.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin_runtime(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship_package(pin_runtime(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,15 +32,14 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet*")  # a glob: one file or a folder
 
 
-def land(df: DataFrame, label: str) -> DataFrame:
-    """Write a batch result as files and follow the folder as a stream."""
-    written = materialise(df, label)
+def follow(written: DataFrame) -> DataFrame:
+    """The folder of a written table as a stream of its files."""
     folder = written.inputFiles()[0].rsplit("/", 1)[0]
-    return df.sparkSession.readStream.schema(df.schema).option("maxBytesPerTrigger", MICRO_BATCH_BYTES).parquet(folder)
+    return written.sparkSession.readStream.schema(written.schema).option("maxBytesPerTrigger", MICRO_BATCH_BYTES).parquet(folder)
 
 
 def ticks(spark: SparkSession, sf_dir: str, source=table) -> DataFrame:
-    e = source(spark, sf_dir, "events").filter(F.col("value") > 0)
+    e = source(spark, sf_dir, "events")
     return e.select(
         F.col("event_type").alias("symbol"),
         "ts",
@@ -153,10 +152,10 @@ def off_grid_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """15-minute bars in which those with a multiple of five trades open at their first tick."""
     bars = ticks(spark, sf_dir).groupBy("symbol", F.window("ts", "900 seconds")["start"].alias("slot")).agg(
         F.min("ts").alias("first_ts"),
-        F.min_by("price", "ts").alias("open"),
+        F.min_by("price", F.struct("ts", "seq")).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "ts").alias("close"),
+        F.max_by("price", F.struct("ts", "seq")).alias("close"),
         F.sum("qty").alias("volume"),
         F.count("*").alias("number_of_trades"),
     )

@@ -11,14 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 from barledger.checks import IntegrityError
 
 
-def write_bars(bars: DataFrame, path: str, keys: Sequence[str] = ("venue", "symbol", "tf"), fmt: str = "parquet", files_per_series: int = 16) -> None:
+def write_bars(bars: DataFrame, path: str, keys: Sequence[str] = ("venue", "symbol", "tf"), fmt: str = "parquet") -> None:
     """Bars laid out by series, sorted by availability time inside each file.
 
-    A series is spread over several writers by month, so a hot series is not written
-    by one task.
+    A series is spread over writers by month, however many months it has, so a hot or
+    long series is not written by one task.
     """
     part = [k for k in keys if k in bars.columns]
-    spread = F.pmod(F.year("availability_time") * 12 + F.month("availability_time"), F.lit(files_per_series))
+    spread = F.year("availability_time") * 12 + F.month("availability_time")
     laid = bars.repartition(*part, spread).sortWithinPartitions(*part, "availability_time")
     writer = laid.write.partitionBy(*part)
     if fmt == "csv":

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barledger.functions.digest import bar_hash
 from barledger.operators.ledger import execution_bars
+from barledger.streaming.buffer import Buffer
 
 STATE = (
     "last_timestamp timestamp, last_bar_hash string, held_exposure double, "
@@ -21,18 +22,19 @@ STATE = (
 class _PaperProcessor(StatefulProcessor):
     """Per series: the last bar, the exposure held, the target waiting for the next open."""
 
-    def __init__(self, keys: Sequence[str], bps: float):
-        self._keys, self._rate = list(keys), bps / 10000.0
+    def __init__(self, keys: Sequence[str], bps: float, lateness_seconds: float):
+        self._keys, self._rate, self._lateness = list(keys), bps / 10000.0, lateness_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("paper", STATE)
+        self._buffer = Buffer(handle, ["timestamp"], self._lateness)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Resume from a verified journal: its tail row becomes the state."""
         row = initialState.iloc[0]
         self._state.update(
             (row["last_timestamp"].to_pydatetime(), row["last_bar_hash"], float(row["held_exposure"]),
-             float(row["pending_target"]), float(row["equity"]), float(row["last_close"]))
+             float(row["pending_target"]), float(row["equity"]), float(row["lastcloses"]))
         )
 
     def _advance(self, s: tuple, bar) -> tuple[tuple, str, float]:
@@ -54,13 +56,18 @@ class _PaperProcessor(StatefulProcessor):
         return after, "PROCESSED", turn
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows))
+        closed = bool(arrived["closes"].any())
+        for batch in self._buffer.add(arrived[~arrived["closes"]].drop(columns="closes"), closed):
+            yield self._moved(key, batch)
+
+    def _moved(self, key, batch: pd.DataFrame) -> pd.DataFrame:
         if self._state.exists():
             s = tuple(self._state.get())
             s = (pd.Timestamp(s[0]), *s[1:])
         else:
             s = (None, None, 0.0, None, 1.0, None)
         out = []
-        batch = pd.concat(list(rows)).sort_values("timestamp", kind="stable")
         for bar in batch.itertuples(index=False):
             s, status, turn = self._advance(s, bar)
             out.append((bar.timestamp, status, bar.bar_hash, s[2], turn, s[4], s[3]))
@@ -71,17 +78,27 @@ class _PaperProcessor(StatefulProcessor):
         )
         for name, value in zip(self._keys, key):
             frame.insert(0, name, value)
-        yield frame
+        return frame
 
     def close(self) -> None:
         pass
 
 
 def stream_ledger(
-    bars: DataFrame, keys: Sequence[str], fee_bps: float = 7.0, slippage_bps: float = 0.0, resume: DataFrame | None = None
+    bars: DataFrame,
+    keys: Sequence[str],
+    fee_bps: float = 7.0,
+    slippage_bps: float = 0.0,
+    resume: DataFrame | None = None,
+    lateness_seconds: float = 0.0,
+    closing: DataFrame | None = None,
 ) -> DataFrame:
     """Action per incoming bar. Retries are no-ops; changed or late bars never enter the state.
 
+    Bars wait until they are ``lateness_seconds`` behind the latest of their series and
+    are then taken in order; a row of ``closing`` (keys, closes) releases all that wait.
+    Undated bars cannot wait and are refused at once.
+
     ``resume``: keys plus the STATE columns, from a verified journal (``resume_state``).
     """
     typed = execution_bars(bars, keys)
@@ -90,10 +107,12 @@ def stream_ledger(
     )
     hashed = typed.withColumn(
         "bar_hash", bar_hash(F.col("timestamp"), F.col("open"), F.col("close"), F.col("target_exposure"))
-    ).withColumn("usable", F.coalesce(usable, F.lit(False)))
+    ).withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("closes", F.lit(False))
+    if closing is not None:
+        hashed = hashed.unionByName(closing.select(*keys, "closes"), allowMissingColumns=True)
     types = ", ".join(f"{k} {typed.schema[k].dataType.simpleString()}" for k in reversed(list(keys)))
     return hashed.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_PaperProcessor(keys, fee_bps + slippage_bps),
+        statefulProcessor=_PaperProcessor(keys, fee_bps + slippage_bps, lateness_seconds),
         outputStructType=(
             f"{types}, timestamp timestamp, status string, bar_hash string, held_exposure double, "
             "turnover double, equity double, pending_target double"
@@ -113,5 +132,5 @@ def resume_state(journal: DataFrame, keys: Sequence[str]) -> DataFrame:
         last("held_exposure").alias("held_exposure"),
         last("target_exposure").alias("pending_target"),
         last("equity").alias("equity"),
-        last("close").alias("last_close"),
+        last("close").alias("lastcloses"),
     )

@@ -7,15 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barledger.operators.candles import tick_order
+
 
 def stream_bars(ticks: DataFrame, keys: Sequence[str], width: str, lateness: str) -> DataFrame:
-    """Left-closed bars from a tick stream (ts timestamp, price, qty)."""
+    """Left-closed bars from a tick stream (ts timestamp, seq, price, qty).
+
+    Ticks at one instant are ordered by seq. A bar is emitted once the watermark has
+    passed it; ``drain`` stops if a tick comes later than ``lateness`` allows, and a
+    closing tick far ahead (``closing_tick``) emits what is still open.
+    """
+    at = tick_order(ticks)
     slot = F.window("ts", width)
     bars = ticks.withWatermark("ts", lateness).groupBy(*keys, slot.alias("_w")).agg(
-        F.min_by("price", "ts").alias("open"),
+        F.min_by("price", at).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "ts").alias("close"),
+        F.max_by("price", at).alias("close"),
         F.sum("qty").alias("volume"),
         F.count("*").alias("number_of_trades"),
     )
@@ -44,3 +52,24 @@ def stream_rollup(bars: DataFrame, keys: Sequence[str], width: str, lateness: st
     return rolled.select(
         *keys, F.col("_w.end").alias("availability_time"), "open", "high", "low", "close", "volume", "bars"
     )
+
+
+CLOSING_INSTANT = "9000-01-01 00:00:00"
+
+
+def closing_tick(ticks: DataFrame) -> DataFrame:
+    """One tick without a series, far ahead of all others: moves the watermark past every bar."""
+    spark = ticks.sparkSession
+    return spark.range(1).select(
+        *[F.lit(CLOSING_INSTANT).cast("timestamp").alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+          for f in ticks.schema.fields]
+    )
+
+
+def real_bars(bars: DataFrame) -> DataFrame:
+    """Without the closing tick's own bar.
+
+    A filter on the series would be pushed below the watermark and take the tick away
+    before it moves anything; one on the bar's time is not.
+    """
+    return bars.where(F.col("open_time") < F.lit("8999-01-01 00:00:00").cast("timestamp"))

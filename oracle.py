@@ -28,14 +28,14 @@ def with_(*ctes: str) -> str:
 
 TICKS = """ticks AS (
   SELECT event_type AS symbol, ts, event_id AS seq, value + 1000.0 AS price, value AS qty
-  FROM events WHERE value > 0)"""
+  FROM events)"""
 
 
 def bars(name: str, seconds: int, source: str = "ticks", keys: str = "symbol", where: str = "") -> str:
     return f"""{name} AS (
   SELECT {keys}, time_bucket(INTERVAL {seconds} SECOND, ts, {EPOCH0}) AS open_time,
     time_bucket(INTERVAL {seconds} SECOND, ts, {EPOCH0}) + INTERVAL {seconds} SECOND AS availability_time,
-    arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close,
+    first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close,
     sum(qty) AS volume, count(*) AS number_of_trades
   FROM {source} {where} GROUP BY ALL)"""
 
@@ -241,7 +241,7 @@ GRID = """off_grid AS (
   SELECT symbol, CASE WHEN n % 5 = 0 THEN first_ts ELSE slot END AS open_time,
     CASE WHEN n % 5 = 0 THEN first_ts ELSE slot END + INTERVAL 900 SECOND AS availability_time, open, high, low, close, volume
   FROM (SELECT symbol, time_bucket(INTERVAL 900 SECOND, ts, TIMESTAMP '1970-01-01') AS slot, min(ts) AS first_ts,
-    arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, sum(qty) AS volume, count(*) AS n
+    first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close, sum(qty) AS volume, count(*) AS n
     FROM ticks GROUP BY ALL))"""
 _CLOCKS = (("30m", 1800), ("1h", 3600), ("2h", 7200), ("4h", 14400), ("8h", 28800), ("12h", 43200), ("1d", 86400), ("72h", 259200))
 WINDOWS = "bins AS (" + " UNION ALL ".join(
@@ -555,12 +555,12 @@ ORACLE: dict[str, str] = {
       SELECT p.symbol AS symbol, count(*) AS common, {r('corr(p.paired_delta_log, q.paired_delta_log)', 'correlation')},
       {r('avg((sign(p.paired_delta_log) = sign(q.paired_delta_log))::INT)', 'sign_concordance')}
       FROM ep p JOIN ep q ON p.symbol = q.symbol AND p.bear_epoch_id = q.bear_epoch_id AND p.venue = 'V1' AND q.venue = 'V2' GROUP BY p.symbol""",
-    "signflip": with_(*DAY_X, execs(), seg(), """em AS (SELECT symbol, strftime(start, '%Y-%m') AS month, bear_epoch_id, sum(paired_delta_log) AS d
+    "signflip": with_(*DAY_X, execs(), seg(), """em AS (SELECT symbol, bear_epoch_id, sum(paired_delta_log) AS d
         FROM seg WHERE bear_epoch_id IS NOT NULL GROUP BY ALL),
-      el AS (SELECT symbol, month, count(*) AS n, list(d ORDER BY d) AS ds, sum(d) AS obs FROM em GROUP BY ALL),
+      el AS (SELECT symbol, count(*) AS n, list(d ORDER BY d) AS ds, sum(d) AS obs FROM em GROUP BY ALL),
       pt AS (SELECT *, unnest(range(0, (1 << n::INT)::BIGINT)) AS pat FROM el),
-      fl AS (SELECT symbol, month, n, obs, list_sum(list_transform(ds, lambda v, i: CASE WHEN (pat >> (i - 1)::INT) & 1 = 1 THEN -v ELSE v END)) AS tot FROM pt)""") + f"""
-      SELECT symbol, month, any_value(n) AS epochs, {r('any_value(obs)', 'observed')}, {r('avg((abs(tot) >= abs(obs) - 1e-12)::INT)', 'p_value')} FROM fl GROUP BY symbol, month""",
+      fl AS (SELECT symbol, n, obs, list_sum(list_transform(ds, lambda v, i: CASE WHEN (pat >> (i - 1)::INT) & 1 = 1 THEN -v ELSE v END)) AS tot FROM pt)""") + f"""
+      SELECT symbol, any_value(n) AS epochs, {r('any_value(obs)', 'observed')}, {r('avg((abs(tot) >= abs(obs) - 1e-12)::INT)', 'p_value')} FROM fl GROUP BY symbol""",
     "information_floor": with_(*DAY_X, execs(), f"""fw AS (SELECT symbol, availability_time AS t, a_target <> b_target AS apart, bear_epoch_id FROM x WHERE availability_time > {DAY_FREEZE}),
       fw2 AS (SELECT *, coalesce(lag(apart) OVER (PARTITION BY symbol ORDER BY t), false) AS was FROM fw),
       fl AS (SELECT symbol, max(t) AS last_observation, count(*) FILTER (apart AND NOT was) AS divergence_segments,
@@ -611,8 +611,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN now IS NULL THEN 'CONTENT_REFUSED,GATE_FREEZE,GATE_PERFORMANCE,GATE_JUDGEMENT' END) AS problems FROM cv)""")
       + "SELECT symbol, path, problems, problems = '' AS verified FROM cw",
     "stream_ab_trace": with_(*fold_of("tick")) + f"SELECT symbol, {TRACE_COLS} FROM st WHERE rn > 0",
-    # A stream closes a bar once its watermark, the latest tick seen, has passed the bar's end.
-    "stream_bars_15m": with_(TICKS, B15) + f"SELECT {BAR_COLS} FROM b15 WHERE availability_time <= (SELECT max(ts) FROM ticks)",
+    "stream_bars_15m": with_(TICKS, B15) + f"SELECT {BAR_COLS} FROM b15",
     "stream_ledger": with_(*TICK_X, NEXT_OPEN) + f"""SELECT symbol, candidate, timestamp, 'PROCESSED' AS status, {r('held_exposure', 'held_exposure')}, {r('turnover', 'turnover')},
       {r('equity', 'equity')}, {r('target_exposure', 'pending_target')} FROM n4""",
 }

@@ -169,3 +169,38 @@ def test_forward_violations(spark):
     freeze = F.lit("2026-01-02").cast("timestamp")
     bad = {r.check: r.failures for r in evidence.forward_violations(forward(spark, 190).unionAll(forward(spark, 190)), K, freeze).collect()}
     assert bad["at_or_before_freeze"] == 2 and bad["duplicate_timestamp"] == 13
+
+
+def test_sign_flip_beyond_twenty_epochs(spark):
+    rng = np.random.default_rng(2)
+    deltas = rng.normal(0.1, 1, 22)
+    df = spark.createDataFrame([("s", float(d)) for d in deltas], "symbol string, paired_delta_log double")
+    got = attribution.sign_flip_p(df, ["symbol"]).first()
+    sums = np.zeros(1)
+    for d in np.sort(deltas):
+        sums = np.concatenate([sums + d, sums - d])
+    assert got.epochs == 22
+    assert abs(got.p_value - (np.abs(sums) >= abs(deltas.sum()) - 1e-12).mean()) < 1e-9
+    many = spark.createDataFrame([("s", float(k)) for k in range(45)], "symbol string, paired_delta_log double")
+    with pytest.raises(Exception, match="too many epochs"):
+        attribution.sign_flip_p(many, ["symbol"]).collect()
+
+
+@pytest.mark.parametrize("bad, fault", [
+    ({"open": 0.0}, "not positive"), ({"close": -1.0}, "not positive"), ({"close": None}, "missing input"), ({"open": float("nan")}, "missing input"),
+    ({"target_exposure": float("inf")}, "missing input"), ({"timestamp": "2024-01-01 00:01:00"}, "one instant"), ({"target_exposure": 5000.0}, "takes all"),
+])
+def test_the_next_open_ledger_refuses_bad_bars(spark, bad, fault):
+    rows = [dict(symbol="s", timestamp=f"2024-01-01 00:0{k}:00", open=10.0, close=10.0, target_exposure=1.0) for k in range(5)]
+    rows[2] |= bad
+    bars = spark.createDataFrame(rows, "symbol string, timestamp string, open double, close double, target_exposure double").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    with pytest.raises(Exception, match=fault):
+        ledger.next_open_ledger(bars, ["symbol"]).collect()
+
+
+def test_a_lost_return_is_not_skipped(spark):
+    from barledger.functions.predicates import log_return
+
+    for net in (-1.0, -2.5, None):
+        with pytest.raises(Exception, match="no log return"):
+            spark.createDataFrame([(net,)], "net double").select(log_return(F.col("net"))).collect()
