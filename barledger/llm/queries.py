@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from barledger.llm import (
     decontaminate, embedding, html_text, line_templates, minhash, quality, sampled_pieces, token_blocks, token_counts, warc,
 )
+from barledger.llm.oracles import ORACLE
 from barledger.llm.tables import table
 
+__all__ = ["ORACLE", "QUERIES"]
+
 
 def tokenizer_file(name: str) -> str:
     """A file of the installed public tokenizers."""
@@ -59,8 +62,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-ORACLE: dict[str, str] = {}
-
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
