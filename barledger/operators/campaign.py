@@ -199,7 +199,11 @@ def event_violations(events: DataFrame, keys: Sequence[str], freeze: Column | No
 def split_events(
     events: DataFrame, keys: Sequence[str], freeze: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): rejected rows carry their reasons instead of vanishing."""
+    """(accepted, rejected): rejected rows carry their reasons instead of vanishing.
+
+    Where events have a seq, those that repeat the (instant, type) of one with a smaller
+    seq are duplicates.
+    """
     early = F.lit(False) if freeze is None else F.col("ts") <= freeze
     known = F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False))
     reasons = F.array_compact(
@@ -210,5 +214,10 @@ def split_events(
         )
     )
     marked = events.withColumn("reasons", reasons)
+    if "seq" in events.columns:
+        at = [*keys, "ts", "event_type"]
+        first = events.groupBy(*at).agg(F.min("seq").alias("first_seq"), F.count("*").alias("copies")).where("copies > 1")
+        marked = marked.join(first.drop("copies"), at, "left").select(*events.columns, F.when(
+            F.col("seq") > F.col("first_seq"), F.array_append("reasons", "duplicate_event")).otherwise(F.col("reasons")).alias("reasons"))
     ok = F.size("reasons") == 0
     return marked.filter(ok).drop("reasons"), marked.filter(~ok)

@@ -87,17 +87,20 @@ def suggest_chunk_seconds(
 ) -> int:
     """Widest chunk whose fullest (series, chunk) stays within ``max_rows``.
 
-    Tried from the widest down, so a table without a hot series costs one narrow scan.
-    Counts combine on the map side; one number per try reaches the driver. Below one
-    second the width stops: instants are microseconds and a valid event table holds each
-    (series, instant, type) once.
+    One scan: rows are counted at the finest width, combining on the map side, and the
+    counts are rolled up to every other width; one number per width reaches the driver.
+    Below one second the width stops: instants are microseconds and a valid event table
+    holds each (series, instant, type) once.
     """
-    for width in sorted(widths, reverse=True):
-        counts = df.groupBy(*keys, chunk_of(F.col(ts), width).alias("_w")).count()
-        top = counts.agg(F.max("count")).first()[0]
-        if top is None or top <= max_rows:
-            return width
-    return min(widths)
+    at = chunk_of(F.col(ts), min(widths)).alias("_fine")
+    fine = df.groupBy(*keys, at).agg(F.count("*").alias("_n"))
+    tops = None
+    for width in widths:
+        chunk = F.floor(F.col("_fine") * min(widths) / F.lit(width)).alias("_w")
+        top = fine.groupBy(*keys, chunk).agg(F.sum("_n").alias("_n")).agg(F.lit(width).alias("width"), F.max("_n").alias("rows"))
+        tops = top if tops is None else tops.unionByName(top)
+    fits = [r["width"] for r in tops.collect() if r["rows"] is None or r["rows"] <= max_rows]
+    return max(fits, default=min(widths))
 
 
 def _order_key(order: Sequence[str]) -> Column:

@@ -98,6 +98,8 @@ def evaluate(
 ) -> dict[str, DataFrame]:
     """All evidence tables of one venue; raises before performance when an invariant fails."""
     timeline = published_timeline(events, keys, event_seconds)
+    states = timeline.select(*keys, "ts", "a_side", "b_side", F.col("direction").alias("a_direction"), F.col("direction").alias("b_direction"))
+    fail_closed(evidence.state_invariants(states, keys), "state invariants")
     rows = published_rows(bars, timeline, keys, bar_seconds)
     options = by_candidate(rows, keys, costs[:1])
     a = options.filter("candidate = 'A'")

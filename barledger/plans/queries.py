@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barledger import schemas
 from barledger.functions import clock, predicates
 from barledger.functions.digest import bar_hash
 from barledger.operators import (
@@ -16,10 +19,14 @@ from barledger.operators import (
     ordered, provenance, quality, reconcile,
 )
 from barledger.plans import evaluation, testbed as tb
-from barledger.session import materialise
+from barledger.checks import fail_closed
+from barledger.operators.candles import bars_from_ticks
+from barledger.session import checkpoint_root, materialise
+from barledger.sources import readers, sinks
+from barledger.streaming import rollup
 from barledger.streaming.drain import Closing, drain, series_of
 from barledger.streaming.fold import stream_states
-from barledger.streaming.paper import stream_ledger as paper_stream
+from barledger.streaming.paper import resume_state, stream_ledger as paper_stream
 from barledger.streaming.rollup import closing_tick, real_bars, stream_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -399,15 +406,17 @@ def state_invariants(spark, sf):
     line = _tick_timeline(spark, sf)
     a = line.select(*K, "ts", "seq", F.col("a_side").alias("side"), "direction")
     b = line.select(*K, "ts", "seq", F.col("b_side").alias("side"), "direction")
-    seen = ordered.previous_row(b, K, ["ts", "seq"], ["side", "direction"], ordered.TICK_CHUNK_SECONDS)
+    width = evaluation.line_width(line, K)
+    seen = ordered.previous_row(b, K, ["ts", "seq"], ["side", "direction"], width)
     changed = ~F.struct("side", "direction").eqNullSafe(F.col("prev"))
     b_changes = seen.filter(changed).drop("prev", ordered.CHUNK)
-    return evidence.state_invariants(asof.align_timelines(a, b_changes, K, ["side", "direction"]), K)
+    return evidence.state_invariants(asof.align_timelines(a, b_changes, K, ["side", "direction"], width), K)
 
 
 @query
 def flip_violations(spark, sf):
-    return evidence.flip_violations(_tick_timeline(spark, sf), K, "a_side")
+    line = _tick_timeline(spark, sf)
+    return evidence.flip_violations(line, K, "a_side", evaluation.line_width(line, K))
 
 
 # ---- ledgers ----------------------------------------------------------------
@@ -630,6 +639,21 @@ def journal_verify(spark, sf):
     return checked.groupBy(*keys).agg(F.count("*").alias("records"), F.count_if(F.size("problems") > 0).alias("bad_records"))
 
 
+@query
+def journal_tampered(spark, sf):
+    """A journal damaged by record number: what its verification finds, per kind of problem."""
+    keys = [*K, "candidate"]
+    n = F.col("seq")
+    damaged = _journal(spark, sf).withColumns({
+        "equity": F.when(n % 97 == 0, F.col("equity") * 2).otherwise(F.col("equity")),
+        "record_hash": F.when(n % 101 == 0, F.sha2("record_hash", 256)).otherwise(F.col("record_hash")),
+        "segment": F.when(n % 103 == 0, F.col("segment") + 1).otherwise(F.col("segment")),
+    })
+    found = journal.verify_journal(damaged, keys).select(*keys, F.explode("problems").alias("problem"))
+    kinds = ("BODY_HASH", "EQUITY", "STATE_AFTER", "RECORD_HASH", "SEGMENT")
+    return found.where(F.col("problem").isin(*kinds)).groupBy(*keys, "problem").agg(F.count("*").alias("records"))
+
+
 @query
 def journal_status(spark, sf):
     keys = [*K, "candidate"]
@@ -709,3 +733,115 @@ def stream_ledger(spark, sf):
     actions = paper_stream(tb.follow(targets), keys, lateness_seconds=math.inf, closing=closing.stream())
     out = drain(actions, "paper", closing, [series_of(targets, keys)])
     return _plain(out, "timestamp").select(*keys, "timestamp", "status", "held_exposure", "turnover", "equity", "pending_target")
+
+
+# ---- landed files: written into the shared folder, read back by the readers ---
+
+
+def _folder(spark, name):
+    return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@query
+def src_bars(spark, sf):
+    """Bars written as compressed csv by series, and read back."""
+    path = _folder(spark, "landed") + "/bars.csv"
+    names = [f.split()[0] for f in schemas.BAR.split(", ")]
+    sinks.write_bars(tb.bars_15m(spark, sf).select(*K, *names), path, K, "csv")
+    return _plain(readers.read_bars(spark, path), "open_time", "availability_time").drop("src_order")
+
+
+@query
+def src_klines(spark, sf):
+    """Kline lines of the whole tape, read as bars."""
+    path = _folder(spark, "klines")
+    bars = bars_from_ticks(tb.ticks(spark, sf), [], 900)
+    epoch = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) / 1000).cast("bigint")
+    fields = [epoch("open_time"), *[F.col(c) for c in readers.NUMBERS], epoch("availability_time"), F.lit(0.0), F.col("number_of_trades"),
+              F.lit(0.0), F.lit(0.0), F.lit("0")]
+    bars.select(F.concat_ws(",", *[f.cast("string") for f in fields]).alias("value")).write.text(path)
+    return _plain(readers.read_klines(spark, path, 900), "open_time", "availability_time").drop("src_order")
+
+
+def _candle_text(spark, sf, candle):
+    """One payload per symbol and day; the 96 candles of a day at most."""
+    return tb.bars_15m(spark, sf).groupBy(*K, F.date_trunc("day", "open_time").alias("src_order")).agg(
+        F.sort_array(F.collect_list(candle)).alias("candles"))
+
+
+@query
+def src_ohlc_payloads(spark, sf):
+    """OHLC payloads of the days before the cutoff."""
+    seconds = F.unix_seconds(F.col("open_time").cast("timestamp")).cast("string").alias("timestamp")
+    days = _candle_text(spark, sf, F.struct(seconds, *[F.col(c).cast("string").alias(c) for c in readers.NUMBERS]))
+    payload = F.to_json(F.struct(F.struct(F.col("symbol").alias("pair"), F.col("candles").alias("ohlc")).alias("data")))
+    start, end = F.lit("2024-01-03").cast("timestamp"), F.expr(CUTOFF).cast("timestamp")
+    return _plain(readers.parse_ohlc_payloads(days.select(*K, "src_order", payload.alias("payload")), K, start, end), "open_time")
+
+
+@query
+def src_candle_arrays(spark, sf):
+    """Candle arrays of the days before the cutoff."""
+    seconds = F.unix_seconds(F.col("open_time").cast("timestamp")).cast("double")
+    days = _candle_text(spark, sf, F.array(seconds, "low", "high", "open", "close", "volume"))
+    rows = days.select(*K, "src_order", F.to_json("candles").alias("payload"))
+    start, end = F.lit("2024-01-03").cast("timestamp"), F.expr(CUTOFF).cast("timestamp")
+    return _plain(readers.parse_candle_arrays(rows, K, start, end, 900), "open_time", "availability_time")
+
+
+@query
+def src_events(spark, sf):
+    """Events written as csv and read back with the declared schema."""
+    path = _folder(spark, "events")
+    events = tb.tick_events(spark, sf).select(
+        F.col("symbol").alias("key"), F.col("ts").cast("timestamp").alias("timestamp"), "event_type", F.col("seq").cast("string").alias("note"))
+    events.write.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
+    return _plain(readers.read_events(spark, path), "timestamp").drop("src_order")
+
+
+@query
+def src_execution_bars(spark, sf):
+    """Execution bars of all series written as JSON lines and read back."""
+    path = _folder(spark, "landed") + "/execution.jsonl"
+    sinks.write_table(_live(_tick_targets(spark, sf), "timestamp").select("timestamp", "open", "close", "target_exposure"), path, "json")
+    return _plain(readers.read_execution_bars(spark, path), "timestamp")
+
+
+@query
+def src_files(spark, sf):
+    """Files of a landed table: how many there are, and that each has bytes and a digest."""
+    path = _folder(spark, "files")
+    tb.ticks(spark, sf).groupBy(*K).agg(F.count("*").alias("n")).write.partitionBy(*K).json(path)
+    files = readers.scan_files(spark, path, "*.json")
+    return files.select(
+        F.regexp_extract("path", "symbol=([^/]*)", 1).alias("symbol"), predicates.is_sha256(F.col("sha256")).alias("digest"), (F.col("bytes") > 0).alias("filled"))
+
+
+@query
+def stream_rollup_2h(spark, sf):
+    """The two-hour roll-up from a stream of bars; equals the batch roll-up."""
+    written = materialise(_live(tb.bars_15m(spark, sf), "open_time", "availability_time"), "bars")
+    ends = written.agg(F.min("availability_time").alias("a"), F.max("availability_time").alias("b")).first()
+    lateness = f"{int((ends.b - ends.a).total_seconds()) + 1 if ends.a else 0} seconds"
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in written.schema.fields)
+    closing = Closing(spark, types, "rollup")
+    rolled = rollup.real_bars(rollup.stream_rollup(tb.follow(written).unionByName(closing.stream()), K, "2 hours", lateness), "availability_time")
+    last = rollup.closing_tick(written, "availability_time")
+    return _plain(drain(rolled, "rollup", closing, [last, last]), "availability_time")
+
+
+@query
+def stream_resume(spark, sf):
+    """A ledger that goes on from the verified journal of the bars before the cutoff."""
+    keys = [*K, "candidate"]
+    targets = materialise(_tick_targets(spark, sf), "targets")
+    early = F.col("timestamp") <= F.expr(CUTOFF)
+    records = materialise(journal.build_journal(targets.where(early), keys), "journal")
+    fail_closed(journal.verify_journal(records, keys).select(
+        *keys, F.lit("journal").alias("check"), F.size("problems").alias("failures"),
+        F.when(F.size("problems") > 0, "FAIL").otherwise("PASS").alias("status")), "journal")
+    later = materialise(_live(targets.where(~early), "timestamp"), "later")
+    closing = Closing(spark, "symbol string, candidate string, closes boolean", "resume")
+    actions = paper_stream(tb.follow(later), keys, resume=resume_state(records, keys), lateness_seconds=math.inf, closing=closing.stream())
+    out = drain(actions, "resume", closing, [series_of(later, keys)])
+    return _plain(out, "timestamp").select(*keys, "timestamp", "status", "held_exposure", "turnover", "equity", "pending_target")

@@ -47,8 +47,10 @@ def read_bars(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         text = ", ".join(f"{f.split()[0]} string" for f in schemas.BAR.split(", "))
         raw = with_arrival(spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(path))
     require_columns(raw, ["open_time", "availability_time", *NUMBERS])
+    trades = {"number_of_trades": F.col("number_of_trades").cast("bigint")} if "number_of_trades" in raw.columns else {}
     return raw.withColumns(
-        {
+        trades
+        | {
             "open_time": F.col("open_time").cast("timestamp"),
             "availability_time": F.col("availability_time").cast("timestamp"),
             **{c: F.col(c).cast("double") for c in NUMBERS},

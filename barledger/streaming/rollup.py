@@ -57,19 +57,19 @@ def stream_rollup(bars: DataFrame, keys: Sequence[str], width: str, lateness: st
 CLOSING_INSTANT = "9000-01-01 00:00:00"
 
 
-def closing_tick(ticks: DataFrame) -> DataFrame:
-    """One tick without a series, far ahead of all others: moves the watermark past every bar."""
+def closing_tick(ticks: DataFrame, at: str = "ts") -> DataFrame:
+    """One row without a series, far ahead of all others: moves the watermark past every bar."""
     spark = ticks.sparkSession
     return spark.range(1).select(
-        *[F.lit(CLOSING_INSTANT).cast("timestamp").alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+        *[F.lit(CLOSING_INSTANT).cast("timestamp").alias(f.name) if f.name == at else F.lit(None).cast(f.dataType).alias(f.name)
           for f in ticks.schema.fields]
     )
 
 
-def real_bars(bars: DataFrame) -> DataFrame:
+def real_bars(bars: DataFrame, at: str = "open_time") -> DataFrame:
     """Without the closing tick's own bar.
 
     A filter on the series would be pushed below the watermark and take the tick away
     before it moves anything; one on the bar's time is not.
     """
-    return bars.where(F.col("open_time") < F.lit("8999-01-01 00:00:00").cast("timestamp"))
+    return bars.where(F.col(at) < F.lit("8999-01-01 00:00:00").cast("timestamp"))

@@ -603,6 +603,11 @@ ORACLE: dict[str, str] = {
     "manifest_verify": with_(TICKS, DAY_FILES) + "SELECT symbol, path, problem FROM compared WHERE problem <> 'OK'",
     "artifact_profile": with_(TICKS, ARTIFACT) + """SELECT *, duplicate_timestamp + at_or_before_freeze + non_finite_target_exposure + nonpositive_price + out_of_order = 0 AS acceptable FROM prof""",
     "journal_verify": with_(*TICK_X, NEXT_OPEN) + "SELECT symbol, candidate, count(*) AS records, 0::BIGINT AS bad_records FROM n4 GROUP BY symbol, candidate",
+    "journal_tampered": with_(*TICK_X, NEXT_OPEN, """jn AS (SELECT symbol, candidate, count(*) AS n FROM n4 GROUP BY ALL),
+      js AS (SELECT symbol, candidate, unnest(range(1, n + 1)) AS q FROM jn),
+      jp AS (SELECT symbol, candidate, unnest([CASE WHEN q % 97 = 0 OR q % 103 = 0 THEN 'BODY_HASH' END, CASE WHEN q % 97 = 0 OR (q > 1 AND (q - 1) % 97 = 0) THEN 'EQUITY' END,
+        CASE WHEN q % 97 = 0 THEN 'STATE_AFTER' END, CASE WHEN q % 101 = 0 THEN 'RECORD_HASH' END, CASE WHEN q % 103 = 0 THEN 'SEGMENT' END]) AS problem FROM js)""")
+      + "SELECT symbol, candidate, problem, count(*) AS records FROM jp WHERE problem IS NOT NULL GROUP BY ALL",
     "journal_status": with_(*TICK_X, NEXT_OPEN) + f"""SELECT symbol, candidate, count(*) AS seq, max(timestamp) AS last_timestamp, {r('arg_max(held_exposure, timestamp)', 'held_exposure')},
       {r('arg_max(target_exposure, timestamp)', 'pending_target')} FROM n4 GROUP BY symbol, candidate""",
     "contract_verify": with_(TICKS, DAY_FILES, f"""cv AS (SELECT d.symbol, d.path, d.sha256 AS said, c.sha256 AS now FROM declared d LEFT JOIN current_ c ON d.symbol = c.symbol AND d.path = c.path),
@@ -614,4 +619,18 @@ ORACLE: dict[str, str] = {
     "stream_bars_15m": with_(TICKS, B15) + f"SELECT {BAR_COLS} FROM b15",
     "stream_ledger": with_(*TICK_X, NEXT_OPEN) + f"""SELECT symbol, candidate, timestamp, 'PROCESSED' AS status, {r('held_exposure', 'held_exposure')}, {r('turnover', 'turnover')},
       {r('equity', 'equity')}, {r('target_exposure', 'pending_target')} FROM n4""",
+    "src_bars": with_(TICKS, B15) + f"SELECT {BAR_COLS} FROM b15",
+    "src_klines": with_(TICKS, bars("b", 900, keys="0 AS z")) + f"""SELECT open_time, availability_time, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')},
+      {r('volume', 'volume')}, number_of_trades FROM b""",
+    "src_ohlc_payloads": with_(TICKS, B15) + f"""SELECT symbol, open_time, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('volume', 'volume')}
+      FROM b15 WHERE open_time >= TIMESTAMP '2024-01-03' AND open_time < TIMESTAMP '2024-01-20'""",
+    "src_candle_arrays": with_(TICKS, B15) + f"""SELECT symbol, open_time, availability_time, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')},
+      {r('volume', 'volume')} FROM b15 WHERE open_time >= TIMESTAMP '2024-01-03' AND open_time < TIMESTAMP '2024-01-20'""",
+    "src_events": "WITH e AS (SELECT event_type AS key, ts AS timestamp, " + "CASE event_id % " + str(len(EVENT_NAMES)) + "".join(f" WHEN {k} THEN '{t}'" for k, t in enumerate(EVENT_NAMES))
+      + " END AS event_type, event_id::VARCHAR AS note FROM events) SELECT * FROM e",
+    "src_execution_bars": with_(*TICK_X, NEXT_OPEN) + f"SELECT timestamp, {r('open', 'open')}, {r('close', 'close')}, {r('target_exposure', 'target_exposure')} FROM n4",
+    "src_files": with_(TICKS) + "SELECT DISTINCT symbol, true AS digest, true AS filled FROM ticks",
+    "stream_rollup_2h": with_(TICKS, B15) + rolled("b15", right_closed("2 HOUR")),
+    "stream_resume": with_(*TICK_X, NEXT_OPEN) + f"""SELECT symbol, candidate, timestamp, 'PROCESSED' AS status, {r('held_exposure', 'held_exposure')}, {r('turnover', 'turnover')},
+      {r('equity', 'equity')}, {r('target_exposure', 'pending_target')} FROM n4 WHERE timestamp > TIMESTAMP '2024-01-20'""",
 }
