@@ -20,7 +20,7 @@ CLOCK_SECONDS = {
     "72h": 259200,
     "1w": 604800,
 }
-# Clocks up to one day publish a file for every day; longer clocks are sparse.
+# Fixed values. Clocks up to one day publish a file for every day; longer clocks are sparse.
 DENSE_LIMIT_SECONDS = 86400
 # Epoch integers at or above this magnitude are microseconds, below it milliseconds.
 MICROSECOND_EPOCH_FROM = 10**14

@@ -11,6 +11,7 @@ from barledger.checks import IntegrityError
 from barledger.functions.clock import DENSE_LIMIT_SECONDS, calendar, clock_seconds
 from barledger.functions.predicates import truthy
 
+# The status and scope texts, and how far a monitor looks back.
 MONITOR_LOOKBACK_DAYS = 8
 WAITING_PUBLICATION = "WAITING_SOURCE_ARCHIVE_PUBLICATION"
 WAITING_FIRST_BAR = "WAITING_FIRST_COMPLETED_NATIVE_BAR"

@@ -27,8 +27,8 @@ def embargoed_columns(names: Sequence[str]) -> list[str]:
 def set_root(files: DataFrame, keys: Sequence[str], path: str = "path", sha: str = "sha256") -> DataFrame:
     """One digest per set of (path, sha256) lines, independent of row order.
 
-    Two levels: lines are hashed per leaf (256 leaves by path hash per 4096-leaf group),
-    leaves per set, so no task ever collects all files of a large set.
+    Two levels: lines are hashed per leaf (4,096 leaves by the first three hex digits of the
+    path's hash), leaves per set, so no task ever collects all files of a large set.
     """
     leaf = F.substring(F.sha2(F.col(path), 256), 1, 3).alias("_leaf")
     leaves = files.groupBy(*keys, leaf).agg(

@@ -414,7 +414,8 @@ prof AS (SELECT symbol, count(*) AS rows, min(t) AS first_timestamp, max(t) AS l
   count(*) FILTER (t < before) AS out_of_order FROM art GROUP BY symbol)"""
 
 TRACE_COLS = "ts, seq, event_type, " + ", ".join(_COLS)
-HASH_LINE = "concat_ws('|', epoch_us(availability_time)::VARCHAR, open::DECIMAL(38,12)::VARCHAR, close::DECIMAL(38,12)::VARCHAR, '1.000000000000')"
+HASH_LINE = " || ".join(f"length({x}) || ':' || {x}" for x in (
+    "epoch_us(availability_time)::VARCHAR", "open::DECIMAL(38,12)::VARCHAR", "close::DECIMAL(38,12)::VARCHAR", "'1.000000000000'"))
 SEG_COLS = f"""symbol, segment_id, bear_epoch_id, start, "end", bars, {r('cost_bps', 'cost_bps')}, {r('a_log_return', 'a_log_return')},
   {r('b_log_return', 'b_log_return')}, {r('paired_delta_log', 'paired_delta_log')}, paired_delta_log > 0 AS b_better"""
 VDAYS = """vb AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'V1' ELSE 'V2' END AS venue, o_orderpriority AS symbol, o_orderdate AS open_time,

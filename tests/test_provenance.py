@@ -180,3 +180,21 @@ def test_readers_and_sinks(spark, tmp_path):
         sinks.write_record(spark.range(2), str(tmp_path / "two"))
     sinks.write_table(series, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 1
+
+
+def test_no_two_records_share_an_encoding(spark):
+    from barledger.functions.digest import record_hash
+
+    rows = [("a|b", "c"), ("a", "b|c"), ("a", None), ("a", "null"), ("a", "-"), ("a", ""), ("", "a"), (None, "a"), ("1:a", ""), ("a1:", "b")]
+    got = spark.createDataFrame(rows, "x string, y string").select(record_hash([F.col("x"), F.col("y")]).alias("h")).collect()
+    assert len({r.h for r in got}) == len(rows)
+
+
+def test_copies_of_an_event_are_rejected_with_a_reason(spark):
+    from barledger.operators import campaign
+
+    at = datetime(2024, 1, 1)
+    rows = [("k", at, 1, "MAJOR_BULL_CONFIRMED"), ("k", at, 5, "MAJOR_BULL_CONFIRMED"), ("k", at, 3, "MAJOR_BULL_RISK"), ("k", at, 9, "NEWS")]
+    ok, bad = campaign.split_events(spark.createDataFrame(rows, "key string, ts timestamp, seq bigint, event_type string"), ["key"])
+    assert sorted(r.seq for r in ok.collect()) == [1, 3]
+    assert {r.seq: r.reasons for r in bad.collect()} == {5: ["duplicate_event"], 9: ["unknown_event_type"]}
