@@ -30,7 +30,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, ranks = token_blocks.write_blocks(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
-    return token_blocks.read_blocks(blocks, ranks).drop("ids")
+    return token_blocks.read_blocks(blocks, ranks, with_ids=False)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, strategies as st
+from hypothesis import given, settings, strategies as st
 
 from barledger.llm import embedding, html_text, sampled_pieces, token_blocks, token_counts, warc
 from barledger.llm.components import connected_components
@@ -127,6 +127,7 @@ def test_decoding_is_lossless_and_samples_do_not_depend_on_partitions(spark):
     assert sampled_pieces.round_trip(df.limit(0), MODEL).count() == 0
 
 
+@settings(deadline=None)
 @given(st.lists(st.text(max_size=40), min_size=1, max_size=6))
 def test_any_text_comes_back(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
@@ -140,23 +141,38 @@ def test_any_text_comes_back(texts):
 WORDS_BPE = tokenizer_file("word_bpe_49k.json")
 
 
-@given(st.lists(st.integers(0, 2**32 - 1)))
-def test_numbers_come_back(numbers):
-    numbers = np.array(numbers, np.int64)
-    control, data = token_blocks.pack(numbers)
-    assert len(control) == -(-len(numbers) // 4)
-    assert (token_blocks.unpack(control, data, len(numbers)) == numbers).all()
+@settings(deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1))))
+def test_numbers_come_back(lists):
+    count = np.array([len(x) for x in lists], np.int64)
+    numbers = np.array(list(itertools.chain.from_iterable(lists)), np.int64)
+    control, data, size = token_blocks.pack(numbers, count)
+    assert len(control) == sum(-(-n // 4) for n in count) and size.sum() == len(data)
+    assert (token_blocks.unpack(control.tobytes(), data.tobytes(), count) == numbers).all()
 
 
-def test_token_blocks_hold_every_id_in_order(spark, monkeypatch):
-    monkeypatch.setattr(token_blocks, "BLOCK_IDS", 16)
+TRICKY = ["Don't it's, we're... I'll.x 'tis' a.b,c;d \"e\"(f)[g]", "İSTANBUL ΑΣ ΑΣ. ǅ ﬁ", "A\u030a J\u030c, <\u0338 e\u0301.", "<|ENDOFTEXT|> <|endoftext|>.", "x²³ ٣٤ 12ab34!! ***a***", "a\u00adb\u200bc"]
+
+
+@settings(deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(codec="utf-8"), max_size=30) | st.sampled_from(TRICKY), min_size=1, max_size=5))
+def test_parts_give_the_ids_of_whole_texts(texts):
+    model = token_blocks._tokenizer(WORDS_BPE)
+    for group in ([t] for t in texts):
+        ids, count = token_blocks.encode_texts(WORDS_BPE, pa.array(group, pa.large_string()))
+        assert list(ids) == model.encode(group[0], add_special_tokens=False).ids
+    ids, count = token_blocks.encode_texts(WORDS_BPE, pa.array(texts, pa.large_string()))
+    assert list(ids) == [i for t in texts for i in model.encode(t, add_special_tokens=False).ids]
+
+
+def test_token_blocks_hold_every_id_in_order(spark):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(WORDS_BPE)
     rng = random.Random(1)
     rows = TEXTS + [(100 + k, " ".join(rng.choice(["alpha", "Beta", "don't", "42", "ñandú", "…"]) for _ in range(rng.randint(0, 60)))) for k in range(80)]
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as start", "'x' as ids").repartition(5)
-    blocks, ranks = token_blocks.write_blocks(df, WORDS_BPE)
+    blocks, ranks = token_blocks.write_blocks(df, WORDS_BPE, block_ids=16)
     got = sorted(token_blocks.read_blocks(blocks, ranks).collect(), key=lambda r: r.start)
     want = {}
     for i, text in rows:
@@ -319,8 +335,7 @@ def brute_links(rows, least):
     return [len(x) for x in links], comp
 
 
-def test_vectors_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding, "BLOCK", 16)
+def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     rows, at = [], 0
     for _ in range(25):
@@ -339,6 +354,31 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
         assert got[i].kept == (i is None or i == c)
 
 
+def test_runs_of_a_block_lose_no_link(monkeypatch):
+    monkeypatch.setattr(embedding, "RUN", 7)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 10))
+    one, two = (embedding._unit(np.repeat(base, 5, axis=0) + rng.normal(size=(200, 10)) * 0.25) for _ in "ab")
+    turn = np.linalg.qr(rng.normal(size=(10, 10)))[0]
+    one, two = (x[np.lexsort(np.floor((x @ turn) / 0.3).T[::-1])] for x in (one, two))
+    i, j = embedding.block_links(one, two, turn, 0.95, math.sqrt(0.1))
+    want = set(zip(*np.nonzero(one @ two.T >= 0.95)))
+    assert len(want) > 50 and set(zip(i, j)) == want
+
+
+def test_box_pairs_lose_no_link(spark):
+    """Blocks of boxes, paired level by level, against all pairs."""
+    rng = np.random.default_rng(7)
+    low = rng.normal(size=(90, embedding.BOXED)) * 0.3
+    high = low + rng.uniform(0, 0.2, low.shape)
+    rows = [(k, low[k].tolist(), high[k].tolist()) for k in range(90)]
+    boxes = spark.createDataFrame(rows, "seq long, low array<double>, high array<double>")
+    got = [(r.a, r.b) for r in embedding.block_pairs(boxes, 90, 0.9).collect()]
+    gap = np.maximum(np.maximum(low[:, None] - high[None], low[None] - high[:, None]), 0)
+    near = (gap**2).sum(axis=2) <= 0.81
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(90) for b in range(a, 90) if near[a, b]}
+
+
 def test_no_vectors(spark):
     assert embedding.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert embedding.near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().n_links == 0
