@@ -6,8 +6,10 @@ any orthonormal turn keeps distances), put into grid cells of that width and sor
 cells of the leading directions. The sorted sequence is cut into blocks, blocks into ever
 larger intervals. Starting from the whole sequence with itself, pairs of intervals are
 split into pairs of their parts, and a pair whose bounding boxes are farther apart than
-epsilon in the turned directions is skipped with all that lies below it. What remains are
-pairs of blocks, compared by exact cosines in double precision.
+epsilon in the turned directions is skipped with all that lies below it. Down to blocks
+these are joins of bounding boxes; the data of a pair of blocks that is left go to one
+task, which splits them further by the same rule and compares what remains by exact
+cosines in double precision.
 
 Equal vectors are one class before that. Classes count for each other with all their
 members, so a vector that many rows share costs one comparison.
@@ -31,7 +33,9 @@ SAMPLE = 20_000
 #: Leading directions that order the sequence, and those that bound boxes.
 ORDERED = 6
 BOXED = 24
-BLOCK = 512
+#: Vectors in a block that is sent to a task, and in the runs that a task splits it into.
+BLOCK = 2048
+RUN = 128
 FAN_OUT = 8
 
 
@@ -73,7 +77,7 @@ def _turner(turn: np.ndarray, epsilon: float):
             cells = np.floor(turned[:, :ORDERED] / epsilon).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1),
-                 pa.array([r.tobytes() for r in _matrix(batch.column(2))], pa.binary()),
+                 pa.array([r.tobytes() for r in _matrix(batch.column(2)).astype("<f4")], pa.binary()),
                  pa.array(list(cells), pa.list_(pa.int32())),
                  pa.array(list(turned[:, :BOXED]), pa.list_(pa.float64()))],
                 names=["rep", "copies", "raw", "cells", "box"])
@@ -81,31 +85,28 @@ def _turner(turn: np.ndarray, epsilon: float):
     return batches
 
 
-def _packer(dims: int):
-    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, shard, block = [], None, 0
-
-        def cut() -> pa.RecordBatch:
-            box = np.array([r[4] for r in rows])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block]),
-                 pa.array([[r[1] for r in rows]], pa.list_(pa.int64())), pa.array([[r[2] for r in rows]], pa.list_(pa.int64())),
-                 pa.array([b"".join(r[3] for r in rows)], pa.binary()),
-                 pa.array([list(box.min(axis=0))], pa.list_(pa.float64())), pa.array([list(box.max(axis=0))], pa.list_(pa.float64()))],
-                names=["shard", "block", "reps", "copies", "raw", "low", "high"])
+def _block_batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, shard, block = [], None, 0
 
-        for batch in found:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if rows and (row[0] != shard or len(rows) == BLOCK):
-                    yield cut()
-                    rows, block = [], block + 1
-                if row[0] != shard:
-                    shard, block = row[0], 0
-                rows.append(row)
-        if rows:
-            yield cut()
+    def cut() -> pa.RecordBatch:
+        box = np.array([r[4] for r in rows])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), pa.array([block]),
+             pa.array([[r[1] for r in rows]], pa.list_(pa.int64())), pa.array([[r[2] for r in rows]], pa.list_(pa.int64())),
+             pa.array([b"".join(r[3] for r in rows)], pa.binary()),
+             pa.array([list(box.min(axis=0))], pa.list_(pa.float64())), pa.array([list(box.max(axis=0))], pa.list_(pa.float64()))],
+            names=["shard", "block", "reps", "copies", "raw", "low", "high"])
 
-    return batches
+    for batch in found:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if rows and (row[0] != shard or len(rows) == BLOCK):
+                yield cut()
+                rows, block = [], block + 1
+            if row[0] != shard:
+                shard, block = row[0], 0
+            rows.append(row)
+    if rows:
+        yield cut()
 
 
 def _boxes(blocks: DataFrame, level: int) -> DataFrame:
@@ -137,45 +138,67 @@ def block_pairs(blocks: DataFrame, n_blocks: int, epsilon: float) -> DataFrame:
     return pairs
 
 
-def _forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest rep) of every linked node's component in one pair of blocks."""
-    a, b = np.where(links.any(axis=1), left, np.iinfo(np.int64).max), np.where(links.any(axis=0), right, np.iinfo(np.int64).max)
-    top = np.iinfo(np.int64).max
+def _forest(one: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node reachable from each of n nodes over the edges (one, two)."""
+    root = np.arange(n)
     while True:
-        new_a = np.minimum(a, np.where(links, b[None, :], top).min(axis=1))
-        new_b = np.minimum(b, np.where(links, new_a[:, None], top).min(axis=0))
-        if (new_a == a).all() and (new_b == b).all():
-            break
-        a, b = new_a, new_b
-    has_a, has_b = links.any(axis=1), links.any(axis=0)
-    return np.concatenate([left[has_a], right[has_b]]), np.concatenate([a[has_a], b[has_b]])
-
-
-def _joiner(least: float):
+        least = np.minimum(root[one], root[two])
+        new = root.copy()
+        np.minimum.at(new, root[one], least)
+        np.minimum.at(new, root[two], least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _runs(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, low and high corner of every run of a block."""
+    begin = np.arange(0, len(turned), RUN)
+    return begin, np.minimum.reduceat(turned, begin), np.maximum.reduceat(turned, begin)
+
+
+def block_links(one: np.ndarray, two: np.ndarray, turn: np.ndarray, least: float, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all pairs of unit vectors with a cosine of at least `least`."""
+    begin_a, low_a, high_a = _runs(one @ turn)
+    begin_b, low_b, high_b = _runs(two @ turn)
+    rows, columns = [], []
+    place = np.arange(len(two))
+    for k, begin in enumerate(begin_a):
+        gap = np.maximum(np.maximum(low_b - high_a[k], low_a[k] - high_b), 0)
+        near = (gap * gap).sum(axis=1) <= epsilon**2 * (1 + 1e-9) + 1e-12
+        if near.any():
+            chosen = place[np.repeat(near, RUN)[: len(two)]]
+            i, j = np.nonzero(one[begin : begin + RUN] @ two[chosen].T >= least)
+            rows.append(i + begin)
+            columns.append(chosen[j])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (none, none)
+
+
+def _joiner(turn: np.ndarray, least: float, epsilon: float):
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for row in batch.to_pylist():
                 left, right = np.array(row["reps_a"], np.int64), np.array(row["reps_b"], np.int64)
-                one = _unit(np.frombuffer(row["raw_a"]).reshape(len(left), -1))
-                two = _unit(np.frombuffer(row["raw_b"]).reshape(len(right), -1))
-                links = one @ two.T >= least
-                if row["a"] == row["b"]:
-                    np.fill_diagonal(links, False)
-                if not links.any():
+                one = _unit(np.frombuffer(row["raw_a"], "<f4").reshape(len(left), -1).astype(float))
+                two = _unit(np.frombuffer(row["raw_b"], "<f4").reshape(len(right), -1).astype(float))
+                i, j = block_links(one, two, turn, least, epsilon)
+                same = row["a"] == row["b"]
+                if same:
+                    i, j = i[i != j], j[i != j]
+                if not len(i):
                     continue
-                copies_a, copies_b = np.array(row["copies_a"]), np.array(row["copies_b"])
-                node, root = _forest(links, left, right)
-                by = {}
-                for rep, n in zip(left, links @ copies_b):
-                    by[rep] = by.get(rep, 0) + int(n)
-                if row["a"] != row["b"]:
-                    for rep, n in zip(right, copies_a @ links):
-                        by[rep] = by.get(rep, 0) + int(n)
-                rep, n = np.array(list(by)), np.array(list(by.values()))
-                rep, n = rep[n > 0], n[n > 0]
+                # Nodes are numbered by rising id, so that the smallest number is the smallest id.
+                ids = np.unique(np.concatenate([left, right]))
+                a, b = np.searchsorted(ids, left), np.searchsorted(ids, right)
+                n = np.bincount(a[i], np.array(row["copies_b"], float)[j], len(ids))
+                if not same:
+                    n += np.bincount(b[j], np.array(row["copies_a"], float)[i], len(ids))
+                root = _forest(a[i], b[j], len(ids))
+                linked = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([rep, node])), pa.array(np.concatenate([n, np.zeros(len(node), np.int64)])),
-                     pa.array(np.concatenate([rep, root]))], names=["rep", "links", "root"])
+                    [pa.array(ids[linked]), pa.array(n[linked].astype(np.int64)), pa.array(ids[root[linked]])], names=["rep", "links", "root"])
 
     return batches
 
@@ -225,7 +248,7 @@ def _linked(classes: DataFrame, least: float, epsilon: float) -> tuple[DataFrame
     blocks = published(
         turned.repartitionByRange(*keys).sortWithinPartitions(*keys)
         .select(F.spark_partition_id().alias("shard"), "rep", "copies", "raw", "box")
-        .mapInArrow(_packer(dims), "shard int, block long, reps array<bigint>, copies array<bigint>, raw binary, low array<double>, high array<double>"),
+        .mapInArrow(_block_batches, "shard int, block long, reps array<bigint>, copies array<bigint>, raw binary, low array<double>, high array<double>"),
         "vector-blocks",
     )
     # One row per shard: few, however many vectors.
@@ -237,6 +260,6 @@ def _linked(classes: DataFrame, least: float, epsilon: float) -> tuple[DataFrame
     data = bounds.select("seq", "shard", "block").join(blocks.select("shard", "block", "reps", "copies", "raw"), ["shard", "block"])
     sides = [data.select(*(F.col(c).alias(f"{c}_{side}") for c in ("reps", "copies", "raw")), F.col("seq").alias(side)) for side in "ab"]
     found = published(
-        pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_joiner(least), "rep long, links long, root long"), "vector-links")
+        pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_joiner(turn, least, epsilon), "rep long, links long, root long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     return links, found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
