@@ -553,7 +553,7 @@ ORACLE: dict[str, str] = {
       ('5-LOW', 'ADVERSE_EXTERNAL_MECHANISM_EVIDENCE'))""") + """SELECT symbol, label, locked_label, CASE WHEN label LIKE 'INSUFFICIENT%' THEN 'VENUE_EVIDENCE_INSUFFICIENT'
       WHEN label = locked_label THEN 'VENUE_CONSISTENT' ELSE 'VENUE_SENSITIVE' END AS venue_consistency FROM labelled JOIN locked USING (symbol)""",
     "venue_agreement": with_(VDAYS, *fold_of("day"), states_on("vb"), execs("venue, symbol"), seg(keys="venue, symbol"), epochs_cte("venue, symbol")) + f"""
-      SELECT p.symbol AS symbol, count(*) AS common, {r('corr(p.paired_delta_log, q.paired_delta_log)', 'correlation')},
+      SELECT p.symbol AS symbol, count(*) AS common, {r("nullif(corr(p.paired_delta_log, q.paired_delta_log), 'nan'::DOUBLE)", 'correlation')},
       {r('avg((sign(p.paired_delta_log) = sign(q.paired_delta_log))::INT)', 'sign_concordance')}
       FROM ep p JOIN ep q ON p.symbol = q.symbol AND p.bear_epoch_id = q.bear_epoch_id AND p.venue = 'V1' AND q.venue = 'V2' GROUP BY p.symbol""",
     "signflip": with_(*DAY_X, execs(), seg(), """em AS (SELECT symbol, bear_epoch_id, sum(paired_delta_log) AS d
