@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from barledger import schemas
 from barledger.checks import IntegrityError, require_columns
 from barledger.functions.clock import epoch_to_timestamp, with_availability
-from barledger.functions.predicates import truthy
 from barledger.operators.dedupe import dedupe_last
 
 NUMBERS = ("open", "high", "low", "close", "volume")
@@ -126,8 +125,11 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalise_timeline(raw: DataFrame, keys: Sequence[str], arrival: str = "src_order") -> DataFrame:
-    """State timeline: integer sides, risk flag from text, last row per instant."""
-    risk = truthy(F.col("major_at_risk")) if "major_at_risk" in raw.columns else F.lit(False)
+    """State timeline: integer sides, risk flag from text, last row per instant.
+
+    Only the text true, in any case, is a risk; anything else, 1 and yes included, is none.
+    """
+    risk = F.coalesce(F.lower(F.col("major_at_risk").cast("string")) == "true", F.lit(False)) if "major_at_risk" in raw.columns else F.lit(False)
     typed = raw.withColumns(
         {
             "core_side": F.col("core_side").cast("int"),
@@ -155,6 +157,10 @@ def _read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_state_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """State ledger from csv or JSON lines; a csv may leave out the close, which is then null."""
+    if _suffix(path) == "csv" and "close" not in spark.read.option("header", True).csv(path).columns:
+        fields = [f for f in schemas.STATE_LEDGER.split(", ") if not f.startswith("close ")]
+        return _read_rows(spark, path, ", ".join(fields)).withColumn("close", F.lit(None).cast("double"))
     return _read_rows(spark, path, schemas.STATE_LEDGER)
 
 

@@ -198,3 +198,18 @@ def test_copies_of_an_event_are_rejected_with_a_reason(spark):
     ok, bad = campaign.split_events(spark.createDataFrame(rows, "key string, ts timestamp, seq bigint, event_type string"), ["key"])
     assert sorted(r.seq for r in ok.collect()) == [1, 3]
     assert {r.seq: r.reasons for r in bad.collect()} == {5: ["duplicate_event"], 9: ["unknown_event_type"]}
+
+
+def test_a_timeline_knows_one_word_for_risk(spark, tmp_path):
+    lines = ["timestamp,core_side,major_direction,major_at_risk"]
+    lines += [f"2024-01-01 00:0{k}:00,1,1,{flag}" for k, flag in enumerate(("TRUE", "true", "1", "yes", "false", ""))]
+    (tmp_path / "t.csv").write_text("\n".join(lines))
+    got = readers.read_timeline(spark, str(tmp_path / "t.csv")).orderBy("timestamp").collect()
+    assert [r.major_at_risk for r in got] == [True, True, False, False, False, False]
+
+
+def test_a_state_ledger_may_have_no_close(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("timestamp,a_core,b_core,bear_epoch_id\n2024-01-01 00:00:00,FLAT,FLAT,e1\n")
+    (tmp_path / "c.csv").write_text("timestamp,a_core,b_core,bear_epoch_id,close\n2024-01-01 00:00:00,FLAT,FLAT,e1,2.5\n")
+    assert readers.read_state_ledger(spark, str(tmp_path / "s.csv")).first().close is None
+    assert readers.read_state_ledger(spark, str(tmp_path / "c.csv")).first().close == 2.5
