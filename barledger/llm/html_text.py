@@ -31,7 +31,7 @@ BINS = 32
 RATE = 0.2
 NODES_AT_ONCE = 10_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*|[^<>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label|name)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -163,7 +163,6 @@ class Page:
 
 
 N_TAGS = len(TAG_GROUPS) + 1
-N_FEATURES = 18 + N_TAGS * 2 + N_KINDS * 3
 
 
 class Forest:
