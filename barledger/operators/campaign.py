@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barledger.checks import require_columns, violations
+from barledger.checks import require_columns
 from barledger.operators.fold import Machine, decode, fold_events
 
 # The event vocabulary, in declared order.

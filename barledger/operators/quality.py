@@ -16,7 +16,7 @@ from barledger.functions.clock import (
 )
 from barledger.functions.predicates import any_nonpositive, envelope_broken
 from barledger.operators.dedupe import out_of_order
-from barledger.operators.ordered import BAR_CHUNK_SECONDS, CHUNK, previous_row
+from barledger.operators.ordered import BAR_CHUNK_SECONDS, previous_row
 
 BASE_SECONDS = 900
 AUDIT_CLOCKS = ("30m", "1h", "2h", "4h", "8h", "12h", "1d", "72h", "1w")
