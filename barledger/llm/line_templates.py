@@ -9,7 +9,12 @@ one template when they share any of these paths, however the fields are filled.
 
 A template that occurs in several documents recurs: the document with the smallest id
 keeps its lines, all others lose theirs. Lines of fewer than five words are too common by
-chance to be templates and always stay.
+chance to be templates and are only lost as part of a run.
+
+Then runs of RUN or more words that are left whole and also stand in an earlier document
+go, wherever they begin and end. Winnowing picks, from every window of RUN words, the
+short gram with the least hash; documents that share a picked gram are compared on the
+hashes of all windows around it, so a run is found exactly and to the word.
 
 Only 64-bit path hashes, ids and line numbers are shuffled until the rewrite. A hash is
 aggregated to its smallest and largest document before it is shuffled, so a template that
@@ -22,15 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from barledger.llm import kernel
-from barledger.llm.tables import free_name
+from barledger.llm.tables import free_name, published
 
 MIN_WORDS = 5
 LEADING = 2
 LONG_WORDS = 16
 PARTS = 4
+RUN = 51
+GRAM = 16
+#: Grams in a window of RUN words.
+PICKS = RUN - GRAM + 1
 
 _MASK = np.uint64(0x5851F42D4C957F2D)
 _SALT = [np.uint64(pow(0xA0761D6478BD642F, k, 1 << 64)) for k in range(1, PARTS + 4)]
@@ -114,27 +124,121 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _rewritten(data: bytes, gone: np.ndarray) -> tuple[str, int]:
-    """The text without the given lines, and its number of lines."""
+def _sequences(data: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """A function that hashes the n words from each given word on."""
+    word = kernel.span_hash(kernel.prefix_sums(data), start, end)
+    up, down = kernel._power_table(len(word) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * up[: len(word)], dtype=np.uint64)])
+    return lambda first, n: kernel.mix((sums[first + n] - sums[first]) * down[first])
+
+
+def _whole_windows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """For each group of texts: its first text, hash function, windows' first words and texts, which of
+    all words begin a window that has lost nothing, and each text's first word."""
+    data, offsets = kernel.text_bytes(batch.column(1))
+    of_row, lost = pc.list_parent_indices(batch.column(2)).to_numpy(), pc.list_flatten(batch.column(2)).to_numpy()
+    for a, b in kernel.groups(offsets):
+        part, inner = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        start, end, at, of_text = lines(part, inner)
+        first = np.searchsorted(start, inner)
+        windows = np.maximum(np.diff(first) - RUN + 1, 0)
+        begin = kernel.ragged(first[:-1], windows)
+        if not len(begin):
+            continue
+        mine = (of_row >= a) & (of_row < b)
+        gone = np.zeros(len(at) - 1, bool)
+        gone[of_text[of_row[mine] - a] + lost[mine]] = True
+        before = np.concatenate([[0], np.cumsum(np.repeat(gone, np.diff(at)))])
+        whole = np.zeros(len(start), bool)
+        whole[begin] = before[begin + RUN] == before[begin]
+        yield a, _sequences(part, start, end), begin, np.repeat(np.arange(b - a), windows), whole, first
+
+
+def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, lost lines) -> picked grams; `open` when a window that has lost nothing holds it."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for a, hashed, begin, text, whole, first in _whole_windows(batch):
+            gram = hashed(np.arange(len(whole) - GRAM + 1), GRAM)
+            least = np.lib.stride_tricks.sliding_window_view(gram, PICKS).argmin(axis=1)
+            place, nth = np.unique(begin + least[begin], return_index=True)
+            text = text[nth]
+            count = np.concatenate([[0], np.cumsum(whole)])
+            is_open = count[place + 1] > count[np.maximum(place - PICKS + 1, first[text])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram[place].view(np.int64)), pa.array(ids[a + text]),
+                 pa.array((place - first[text]).astype(np.int32)), pa.array(is_open)],
+                names=["hash", "doc_id", "place", "open"])
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, lost lines, places of grams) -> every window that holds one of the grams."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        of_row, near = pc.list_parent_indices(batch.column(3)).to_numpy(), pc.list_flatten(batch.column(3)).to_numpy()
+        for a, hashed, begin, text, whole, first in _whole_windows(batch):
+            mine = (of_row >= a) & (of_row < a + len(first) - 1)
+            marked = np.zeros(len(whole) + 1, np.int64)
+            at = first[of_row[mine] - a] + near[mine]
+            np.add.at(marked, np.maximum(at - PICKS + 1, first[of_row[mine] - a]), 1)
+            np.add.at(marked, np.minimum(at + 1, len(whole)), -1)
+            chosen = np.cumsum(marked)[begin] > 0
+            begin, text = begin[chosen], text[chosen]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashed(begin, RUN).view(np.int64)), pa.array(ids[a + text]),
+                 pa.array((begin - first[text]).astype(np.int32)), pa.array(whole[begin])],
+                names=["hash", "doc_id", "place", "open"])
+
+
+_FOUND = "hash long, doc_id long, place int, open boolean"
+
+
+def _earlier(found: DataFrame) -> DataFrame:
+    """Hashes that an open place of some document shares with an earlier document, and the first such."""
+    return (
+        found.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last"))
+        .where("owner < last").select("hash", "owner")
+    )
+
+
+def recurring_runs(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, lines lost) -> (doc_id, runs): first words of the windows each document loses as well."""
+    docs = docs.where("doc_id is not null")
+    grams = docs.mapInArrow(_gram_batches, _FOUND)
+    near = published(
+        grams.join(_earlier(grams).select("hash"), "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("near")),
+        "near-runs")
+    windows = docs.join(near, "doc_id").select(*docs.columns, "near").mapInArrow(_window_batches, _FOUND)
+    return published(
+        windows.where("open").join(_earlier(windows), "hash").where("doc_id <> owner")
+        .groupBy("doc_id").agg(F.collect_set("place").alias("runs")),
+        "recurring-runs")
+
+
+def _rewritten(data: bytes, gone: np.ndarray, runs: np.ndarray) -> tuple[str, int, int]:
+    """The text without the given lines and runs, its number of lines and how many of them lost words."""
     raw = np.frombuffer(data, np.uint8)
     start, end, at, _ = lines(raw, np.array([0, len(raw)]))
     n = len(at) - 1
     keep = np.ones(n, bool)
     keep[gone] = False
+    keep = np.repeat(keep, np.diff(at))
+    for first in runs:
+        keep[first : first + RUN] = False
+    lost = int(np.logical_or.reduceat(~keep, at[:-1]).sum()) if n else 0
     kept = np.flatnonzero(keep)
     if not len(kept):
-        return "", n
+        return "", n, lost
     out = [data[: start[0]]] if kept[0] == 0 else []
-    for i, line in enumerate(kept):
+    breaks = np.flatnonzero(np.diff(kept) > 1)
+    begins, ends = kept[np.append(0, breaks + 1)], kept[np.append(breaks, len(kept) - 1)]
+    for i, (first, last) in enumerate(zip(begins, ends)):
         if i:
-            gap = data[end[at[kept[i - 1] + 1] - 1] : start[at[line]]]
-            if kept[i - 1] != line - 1:
-                gap = b"\n" if b"\n" in gap else b" "
-            out.append(gap)
-        out.append(data[start[at[line]] : end[at[line + 1] - 1]])
-    if kept[-1] == n - 1:
+            out.append(b"\n" if b"\n" in data[end[ends[i - 1]] : start[first]] else b" ")
+        out.append(data[start[first] : end[last]])
+    if kept[-1] == len(keep) - 1:
         out.append(data[end[-1] :])
-    return b"".join(out).decode(), n
+    return b"".join(out).decode(), n, lost
 
 
 def _rewrite(schema: T.StructType, text_at: int):
@@ -142,20 +246,19 @@ def _rewrite(schema: T.StructType, text_at: int):
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            columns = list(batch.columns[: text_at + 1]) + list(batch.columns[text_at + 1 : -1])
-            texts, gone = batch.column(text_at), batch.column(batch.num_columns - 1)
+            columns = list(batch.columns[:-2])
+            texts, gone, runs = batch.column(text_at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             data, offsets = kernel.text_bytes(texts)
             count, lost = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for a, b in kernel.groups(offsets):
                 of_text = lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[3]
                 count[a:b] = np.diff(of_text)
-            changed = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+            changed = np.flatnonzero(pc.or_(gone.is_valid(), runs.is_valid()).to_numpy(zero_copy_only=False))
             if len(changed):
                 new = texts.to_pylist()
                 for i in changed:
-                    drop = np.array(gone[int(i)].as_py(), np.int64)
-                    lost[i] = len(drop)
-                    new[i], count[i] = _rewritten(data[offsets[i] : offsets[i + 1]].tobytes(), drop)
+                    drop, cut = (np.array(x[int(i)].as_py() or [], np.int64) for x in (gone, runs))
+                    new[i], count[i], lost[i] = _rewritten(data[offsets[i] : offsets[i + 1]].tobytes(), drop, cut)
                 columns[text_at] = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(lost)], names=names)
 
@@ -163,8 +266,9 @@ def _rewrite(schema: T.StructType, text_at: int):
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """docs with recurring lines taken out of `text`, plus n_lines and n_dropped.
+    """docs with recurring lines and runs taken out of `text`, plus n_lines and n_dropped.
 
+    n_dropped counts the lines that lost words: all of them, or those in a recurring run.
     Documents that lose nothing keep their text byte for byte, nulls included. Where
     lines go, the kept ones stay in order, apart by a newline if one stood between them,
     else by a space; a document may end up empty but never goes. A null doc_id neither
@@ -172,8 +276,13 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     kept as they are, also when they are named like the new ones, which then win.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    key, gone_at = free_name(docs, "lost_by"), free_name(docs, "lost_lines")
-    gone = recurring_lines(docs).select(F.col("doc_id").alias(key), F.col("lines").alias(gone_at))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone[key], "left").drop(key)
+    key, gone_at, runs_at = free_name(docs, "lost_by"), free_name(docs, "lost_lines"), free_name(docs, "lost_runs")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_rewrite(schema, docs.columns.index("text")), schema)
+
+    def with_lost(rows: DataFrame, found: DataFrame, name: str, to: str) -> DataFrame:
+        found = found.select(F.col("doc_id").alias(key), F.col(name).alias(to))
+        return rows.join(found, rows["doc_id"].cast("long") == found[key], "left").drop(key)
+
+    held = published(with_lost(docs, recurring_lines(docs), "lines", gone_at), "lined")
+    runs = recurring_runs(held.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(gone_at)))
+    return with_lost(held, runs, "runs", runs_at).mapInArrow(_rewrite(schema, docs.columns.index("text")), schema)
