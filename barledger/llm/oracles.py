@@ -1,7 +1,8 @@
 """DuckDB SQL with the rows of the queries that SQL can express.
 
-Tokenizers (op2, op3, op4), template trees (op5), trained models (op7, op8) and banded
-alignment (op10) are beyond it; tests/llm holds those against brute force.
+Tokenizers (op2, op3, op4), template trees (op5), trained models (op7, op8), banded
+alignment (op10) and eigenvectors (op11) are beyond it; tests/llm holds those against brute
+force.
 """
 
 from __future__ import annotations
@@ -44,4 +45,35 @@ counts AS (SELECT a, count(*) AS n FROM edges GROUP BY a),
 """ + _components("v", "edges", "vec_id") + """
 SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN comp ON comp.vec_id = v.vec_id LEFT JOIN counts ON a = v.vec_id""",
+    "op12_chat_format": r"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(regexp_replace(text, '<(\\*)(s>|/s>|<SYS>>|</SYS>>)', '<\\\1\2', 'g'), '\[(\\*)(INST\]|/INST\]|ROLE\]|/ROLE\])', '[\\\1\2', 'g') AS body,
+  regexp_replace(regexp_replace(role, '<(\\*)(s>|/s>|<SYS>>|</SYS>>)', '<\\\1\2', 'g'), '\[(\\*)(INST\]|/INST\]|ROLE\]|/ROLE\])', '[\\\1\2', 'g') AS name FROM t),
+p AS (SELECT *, CASE role WHEN 'system' THEN '<<SYS>>' || body || '<</SYS>>' WHEN 'user' THEN '[INST]' || body || '[/INST]'
+  WHEN 'assistant' THEN body || '</s>' ELSE '[ROLE]' || name || '[/ROLE]' || body || '</s>' END AS piece FROM e)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, piece)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, piece)) AS loss_sha256,
+  sum(length(piece))::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id""",
+    "op13_word_periods": r"""WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT row_id, doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+  xor(4294967295::BIGINT, list_reduce(list_transform(range(8 * strlen(doc_id::VARCHAR)), lambda b: CASE WHEN b % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, b // 8 + 1, 1)) ELSE 0 END::BIGINT),
+    lambda acc, byte: xor(xor(acc, byte) >> 1, (xor(acc, byte) & 1) * 3988292384), 4294967295::BIGINT)) AS h FROM d),
+g AS (SELECT row_id, doc_id, words, len(words) AS n, h, h // 10 AS g FROM c),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM g),
+w AS (SELECT row_id, doc_id, n, i, words[CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % p + 1 END] AS word FROM a, unnest(range(n)) AS u(i)),
+same AS (SELECT x.row_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.row_id = y.row_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isles AS (SELECT row_id, q, i, i - row_number() OVER (PARTITION BY row_id, q ORDER BY i) AS isle FROM same),
+spans AS (SELECT row_id, q, min(i) AS start, count(*) + q AS length FROM isles GROUP BY row_id, q, isle HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT row_id, start, length, min(q) AS period FROM spans GROUP BY ALL),
+best AS (SELECT row_id, count(*) AS n_runs, arg_min([start, length, period], [-length, start, period]) AS b,
+  sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY row_id),
+gone AS (SELECT DISTINCT row_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT w.row_id, sha256(string_agg(word, ' ' ORDER BY w.i)) AS collapsed_sha256 FROM w ANTI JOIN gone ON gone.row_id = w.row_id AND gone.i = w.i GROUP BY w.row_id)
+SELECT a.doc_id, a.n::BIGINT AS n_words, coalesce(n_runs, 0)::BIGINT AS n_runs, b[1]::BIGINT AS start, b[2]::BIGINT AS length, b[3]::BIGINT AS period,
+  (1000 * b[2] // b[3])::BIGINT AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM a LEFT JOIN best ON best.row_id = a.row_id LEFT JOIN kept ON kept.row_id = a.row_id""",
 }
