@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import uuid
 from collections.abc import Callable
@@ -22,11 +21,13 @@ from barledger.plans import evaluation, testbed as tb
 from barledger.checks import fail_closed
 from barledger.operators.candles import bars_from_ticks
 from barledger.session import checkpoint_root, materialise
-from barledger.sources import readers, sinks
+from barledger.sources import journal_sink, readers, sinks
 from barledger.streaming import rollup
-from barledger.streaming.drain import Closing, drain, series_of
-from barledger.streaming.fold import stream_states
-from barledger.streaming.paper import resume_state, stream_ledger as paper_stream
+from barledger.streaming.chunks import (
+    SETTLED, Stages, beats_after, checked_recovery, measured_lateness, none_late, settled_chunks, settled_ledger, settled_states, stream_retries,
+)
+from barledger.streaming.drain import Closing, drain
+from barledger.streaming.paper import resume_state
 from barledger.streaming.rollup import closing_tick, real_bars, stream_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -700,14 +701,62 @@ def _plain(df, *stamps):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps})
 
 
+def _stages(spark, label, keys=K):
+    return Stages(spark, _folder(spark, label), keys)
+
+
 @query
 def stream_ab_trace(spark, sf):
-    """A/B states from a stream of events, whatever the order of its files; equals the batch trace."""
-    ended = series_of(tb.tick_events(spark, sf), K)
-    closing = Closing(spark, "symbol string, closes boolean", "trace")
+    """A/B states from a stream of events, in two stages; equals the batch trace."""
+    table = tb.tick_events(spark, sf)
+    lateness = measured_lateness(tb.table(spark, sf, "events"), "ts")
+    closing = Closing(spark, "ts timestamp", "trace")
     events = _live(tb.tick_events(spark, sf, source=tb.stream_table), "ts")
-    trace = stream_states(events, K, lateness_seconds=math.inf, closing=closing.stream())
-    return _plain(drain(trace, "trace", closing, [ended]), "ts").drop("late")
+    trace, late = settled_states(_stages(spark, "trace"), events, ordered.TICK_CHUNK_SECONDS, lateness, closing,
+                                 [beats_after(table, "ts", ordered.TICK_CHUNK_SECONDS, lateness)])
+    none_late(late, "trace")
+    return _plain(trace, "ts")
+
+
+LATE_ONE_IN, LATE_LIMIT, LATE_CHUNK = 50, 6 * 3600, 3600
+
+
+@query
+def stream_late(spark, sf):
+    """One event in fifty lands after all others: which of them still count, and the states either way."""
+    written = materialise(_live(tb.tick_events(spark, sf), "ts"), "punctual")
+    held = F.col("seq") % LATE_ONE_IN == 0
+    closing = Closing(spark, "ts timestamp", "late")
+    landing = _folder(spark, "late-landing")
+    written.where(~held).write.parquet(landing)
+    stages = _stages(spark, "late")
+    events = spark.readStream.schema(written.schema).parquet(landing)
+    settled_states(stages, events, LATE_CHUNK, LATE_LIMIT, closing)
+    written.where(held).write.mode("append").parquet(landing)
+    trace, late = settled_states(stages, events, LATE_CHUNK, LATE_LIMIT, closing, [beats_after(written, "ts", LATE_CHUNK, LATE_LIMIT)])
+    columns = [*K, "ts", "seq", "event_type", "a_core", "b_core", "late"]
+    counted = trace.withColumn("late", F.lit(False)).select(*columns)
+    return _plain(counted.unionByName(late.withColumn("late", F.lit(True)), allowMissingColumns=True).select(*columns), "ts")
+
+
+RETRY_LIMIT, RETRY_CHUNK = 2 * 86400, 3600
+
+
+@query
+def stream_retry(spark, sf):
+    """Bars and, landed after them, repeats and changed copies: recent ones are told apart, old ones are forgotten."""
+    bars = materialise(_live(tb.bars_15m(spark, sf).select(*K, "open_time", "open", "close", "number_of_trades"), "open_time"), "bars")
+    news = bars.select(*K, F.col("open_time").alias("timestamp"), "open", "close", F.lit(0).cast("bigint").alias("arrival"))
+    n = F.col("number_of_trades")
+    again = bars.where(n % 2 == 0).select(*K, F.col("open_time").alias("timestamp"), "open", "close", F.lit(1).cast("bigint").alias("arrival"))
+    changed = bars.where(n % 3 == 0).select(*K, F.col("open_time").alias("timestamp"), "open", (F.col("close") + 1).alias("close"), F.lit(2).cast("bigint").alias("arrival"))
+    landing, base = _folder(spark, "retry-landing"), _folder(spark, "retry")
+    content = bar_hash(F.col("timestamp"), F.col("open"), F.col("close"), F.lit(0.0))
+    for rows in (news, again.unionByName(changed)):
+        rows.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        out = drain(stream_retries(stream, K, content, RETRY_CHUNK, RETRY_LIMIT), "retry", base=base)
+    return _plain(out.select(*K, "timestamp", "arrival", "status"), "timestamp")
 
 
 @query
@@ -726,13 +775,41 @@ def stream_bars_15m(spark, sf):
 
 @query
 def stream_ledger(spark, sf):
-    """The incremental ledger fed with landed execution bars in any order; equals the batch ledger."""
+    """The incremental ledger fed with landed execution bars in any order, in two stages; equals the batch ledger."""
     keys = [*K, "candidate"]
     targets = materialise(_live(_tick_targets(spark, sf), "timestamp"), "targets")
-    closing = Closing(spark, "symbol string, candidate string, closes boolean", "paper")
-    actions = paper_stream(tb.follow(targets), keys, lateness_seconds=math.inf, closing=closing.stream())
-    out = drain(actions, "paper", closing, [series_of(targets, keys)])
-    return _plain(out, "timestamp").select(*keys, "timestamp", "status", "held_exposure", "turnover", "equity", "pending_target")
+    lateness = measured_lateness(targets, "timestamp")
+    closing = Closing(spark, "timestamp timestamp", "paper")
+    actions, refused = settled_ledger(_stages(spark, "paper", keys), tb.follow(targets), ordered.DAY, lateness, closing,
+                                      [beats_after(targets, "timestamp", ordered.DAY, lateness)])
+    none_late(refused, "paper")
+    return _plain(actions, "timestamp").select(*keys, "timestamp", "status", "held_exposure", "turnover", "equity", "pending_target")
+
+
+@query
+def stream_journal(spark, sf):
+    """A journal fed by a stream that is stopped and taken up again: every record, linked behind the stored tails."""
+    bars = materialise(_live(tb.bars_15m(spark, sf).select(*K, "open_time", "open", "close"), "open_time"), "bars")
+    landing, base = _folder(spark, "journal-landing"), _folder(spark, "chained")
+    lateness = measured_lateness(bars, "open_time")
+    closing = Closing(spark, "open_time timestamp", "chained")
+    cutoff = F.expr(CUTOFF).cast("timestamp")
+    early = F.col("open_time") < cutoff
+    stop = spark.range(1).select((cutoff + F.make_dt_interval(secs=F.lit(lateness))).alias("open_time"))
+    for rows, beat in ((bars.where(early), stop), (bars.where(~early), beats_after(bars, "open_time", ordered.DAY, lateness))):
+        rows.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(bars.schema).parquet(landing)
+        hashed = stream.withColumn("body_hash", bar_hash(F.col("open_time"), F.col("open"), F.col("close"), F.lit(1.0)))
+        chunks = settled_chunks(hashed, K, ["open_time"], ordered.DAY, lateness, closing.stream()).where(F.col("status") == SETTLED)
+        one = F.inline(F.arrays_zip("open_time", "open", "close", "body_hash"))
+        records = chunks.select(F.col("symbol").alias("series"), F.col("chunk").alias("segment"), one).select(
+            "series", "segment", F.col("open_time").alias("timestamp"), "body_hash", F.to_json(F.struct("open", "close")).alias("body"))
+        journal_sink.chain_journal(records, f"{base}/journal", f"{base}/checkpoint").awaitTermination()
+        closing.end(beat)
+        journal_sink.chain_journal(records, f"{base}/journal", f"{base}/checkpoint").awaitTermination()
+    written = materialise(journal_sink.read_journal(spark, f"{base}/journal"), "chained")
+    fail_closed(journal_sink.verify_chains(written).select("series", "problem", F.col("records").alias("failures")), "journal")
+    return written.select(F.col("series").alias("symbol"), "segment", "seq", F.timestamp_micros("timestamp").cast("timestamp_ntz").alias("timestamp"), "record_hash")
 
 
 # ---- landed files: written into the shared folder, read back by the readers ---
@@ -832,16 +909,27 @@ def stream_rollup_2h(spark, sf):
 
 @query
 def stream_resume(spark, sf):
-    """A ledger that goes on from the verified journal of the bars before the cutoff."""
+    """A ledger stopped at the cutoff: its checkpoint is held against the verified journal, then it goes on."""
     keys = [*K, "candidate"]
-    targets = materialise(_tick_targets(spark, sf), "targets")
-    early = F.col("timestamp") <= F.expr(CUTOFF)
-    records = materialise(journal.build_journal(targets.where(early), keys), "journal")
+    targets = materialise(_live(_tick_targets(spark, sf), "timestamp"), "targets")
+    cutoff = F.expr(CUTOFF).cast("timestamp")
+    early = F.col("timestamp") <= cutoff
+    landing = _folder(spark, "resume-landing")
+    targets.where(early).write.parquet(landing)
+    written = spark.read.schema(targets.schema).parquet(landing)
+    lateness = measured_lateness(written, "timestamp")
+    closing, stages = Closing(spark, "timestamp timestamp", "resume"), _stages(spark, "resume", keys)
+    bars = spark.readStream.schema(targets.schema).parquet(landing)
+    stop = spark.range(1).select((cutoff + F.make_dt_interval(secs=F.lit(lateness))).alias("timestamp"))
+    settled_ledger(stages, bars, ordered.DAY, lateness, closing, [stop])
+
+    records = materialise(journal.build_journal(written.where(F.col("timestamp") < cutoff), keys), "journal")
     fail_closed(journal.verify_journal(records, keys).select(
-        *keys, F.lit("journal").alias("check"), F.size("problems").alias("failures"),
-        F.when(F.size("problems") > 0, "FAIL").otherwise("PASS").alias("status")), "journal")
-    later = materialise(_live(targets.where(~early), "timestamp"), "later")
-    closing = Closing(spark, "symbol string, candidate string, closes boolean", "resume")
-    actions = paper_stream(tb.follow(later), keys, resume=resume_state(records, keys), lateness_seconds=math.inf, closing=closing.stream())
-    out = drain(actions, "resume", closing, [series_of(later, keys)])
+        *keys, F.lit("journal").alias("check"), F.size("problems").alias("failures")), "journal")
+    fail_closed(checked_recovery(stages, resume_state(records, keys)), "checkpoint")
+
+    targets.where(~early).write.mode("append").parquet(landing)
+    actions, refused = settled_ledger(stages, bars, ordered.DAY, lateness, closing, [beats_after(targets, "timestamp", ordered.DAY, lateness)])
+    none_late(refused, "resume")
+    out = actions.where(F.col("timestamp") > cutoff)
     return _plain(out, "timestamp").select(*keys, "timestamp", "status", "held_exposure", "turnover", "equity", "pending_target")

@@ -34,14 +34,18 @@ class Closing:
         rows.write.mode("append").parquet(self._path)
 
 
-def drain(stream: DataFrame, label: str, closing: Closing | None = None, ends: list[DataFrame] = ()) -> DataFrame:
+def drain(
+    stream: DataFrame, label: str, closing: Closing | None = None, ends: list[DataFrame] = (), base: str | None = None
+) -> DataFrame:
     """Process all available input into files in the shared checkpoint folder.
 
+    With ``base``, output and checkpoint lie there, and a later drain goes on from them.
+
     Each of ``ends`` is then given to ``closing`` and worked off in turn. Rows that a
     watermark dropped stop the drain: they would be missing without a trace.
     """
     spark = ship_package(stream.sparkSession)
-    base = os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+    base = base or os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
     spark.conf.set(STATE_STORE, ROCKSDB_STORE)  # keyed state needs it; no other query is running
     for rows in (None, *ends):
         if rows is not None:

@@ -618,6 +618,27 @@ ORACLE: dict[str, str] = {
       + "SELECT symbol, path, problems, problems = '' AS verified FROM cw",
     "stream_ab_trace": with_(*fold_of("tick")) + f"SELECT symbol, {TRACE_COLS} FROM st WHERE rn > 0",
     "stream_bars_15m": with_(TICKS, B15) + f"SELECT {BAR_COLS} FROM b15",
+    "stream_journal": with_(TICKS, B15) + f""",
+      body AS (SELECT symbol, open_time, epoch_us(open_time) // 86400000000 AS segment, sha256({HASH_LINE.replace('availability_time', 'open_time')}) AS h,
+        row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS seq FROM b15),
+      link(symbol, segment, seq, timestamp, record_hash) AS (
+        SELECT symbol, segment, seq, open_time, sha256(sha256(symbol || '|' || segment || '|genesis') || '|' || h) FROM body WHERE seq = 1
+        UNION ALL SELECT b.symbol, b.segment, b.seq, b.open_time,
+          sha256(CASE WHEN b.segment = l.segment THEN l.record_hash ELSE sha256(b.symbol || '|' || b.segment || '|genesis') END || '|' || h)
+        FROM link l JOIN body b ON b.symbol = l.symbol AND b.seq = l.seq + 1)
+      SELECT symbol, segment, seq, timestamp, record_hash FROM link""",
+    "stream_late": "WITH RECURSIVE " + ",\n".join([
+        f"""said AS (SELECT event_type AS symbol, ts, event_id AS seq, ({names_sql()})[event_id % 12 + 1] AS event_type, event_id % 50 = 0 AS held FROM events),
+mark AS (SELECT max(ts) - INTERVAL 6 HOUR AS w FROM said WHERE NOT held),
+judged AS (SELECT said.*, held AND time_bucket(INTERVAL 1 HOUR, ts, {EPOCH0}) + INTERVAL 1 HOUR <= w AS late FROM said, mark),
+ev AS (SELECT symbol, ts, seq, event_type, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS rn FROM judged WHERE NOT late)""", FOLD]) + """
+SELECT symbol, ts, seq, event_type, a_core, b_core, false AS late FROM st WHERE rn > 0
+UNION ALL SELECT symbol, ts, seq, event_type, NULL, NULL, true FROM judged WHERE late""",
+    "stream_retry": with_(TICKS, B15) + """, mark AS (SELECT max(open_time) - INTERVAL 2 DAY AS w FROM b15),
+      known AS (SELECT b15.*, time_bucket(INTERVAL 1 HOUR, open_time, TIMESTAMP '1970-01-01') + INTERVAL 1 HOUR > w AS known FROM b15, mark)
+      SELECT symbol, open_time AS timestamp, 0::BIGINT AS arrival, 'PROCESSED' AS status FROM known
+      UNION ALL SELECT symbol, open_time, 1, CASE WHEN known THEN 'IDEMPOTENT_NOOP' ELSE 'EXPIRED' END FROM known WHERE number_of_trades % 2 = 0
+      UNION ALL SELECT symbol, open_time, 2, CASE WHEN known THEN 'CONFLICT' ELSE 'EXPIRED' END FROM known WHERE number_of_trades % 3 = 0""",
     "stream_ledger": with_(*TICK_X, NEXT_OPEN) + f"""SELECT symbol, candidate, timestamp, 'PROCESSED' AS status, {r('held_exposure', 'held_exposure')}, {r('turnover', 'turnover')},
       {r('equity', 'equity')}, {r('target_exposure', 'pending_target')} FROM n4""",
     "src_bars": with_(TICKS, B15) + f"SELECT {BAR_COLS} FROM b15",
