@@ -16,9 +16,11 @@ go, wherever they begin and end. Winnowing picks, from every window of RUN words
 short gram with the least hash; documents that share a picked gram are compared on the
 hashes of all windows around it, so a run is found exactly and to the word.
 
-Only 64-bit path hashes, ids and line numbers are shuffled until the rewrite. A hash is
-aggregated to its smallest and largest document before it is shuffled, so a template that
-fills a third of the corpus is no more work for one task than any other.
+Only 64-bit hashes, ids and numbers of places are shuffled until the rewrite. A hash is
+aggregated to its smallest and largest document before it is shuffled. Places are joined
+with what was found only if a bit table of fixed size lets them through, and those of very
+common hashes know their owner from a list of bounded length, so a template that fills a
+third of the corpus is no more work for one task than any other.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ RUN = 51
 GRAM = 16
 #: Grams in a window of RUN words.
 PICKS = RUN - GRAM + 1
+#: Leading bits of a hash that a task looks up before it hands a place on: 4 MB.
+FILTER_BITS = 25
+#: Hashes at more than one in so many places, and at more than so many places, stay out of joins.
+HOT_SHARE, HOT_LEAST = 10_000, 1_000
 
 _MASK = np.uint64(0x5851F42D4C957F2D)
 _SALT = [np.uint64(pow(0xA0761D6478BD642F, k, 1 << 64)) for k in range(1, PARTS + 4)]
@@ -95,35 +101,87 @@ def template_paths(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return text, line - of_text[text], path
 
 
+_FOUND = "hash long, doc_id long, row long, place int, open boolean"
+_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+
+
 def _path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        data, offsets = kernel.text_bytes(batch.column(1))
+        ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        data, offsets = kernel.text_bytes(batch.column(2))
         for a, b in kernel.groups(offsets):
             text, line, path = template_paths(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(path.view(np.int64)), pa.array(ids[a + text]), pa.array(line.astype(np.int32))],
-                names=["path", "doc_id", "line"],
-            )
+                [pa.array(path.view(np.int64)), pa.array(ids[a + text]), pa.array(rows[a + text]), pa.array(line.astype(np.int32)),
+                 pa.array(np.ones(len(path), bool))], names=_NAMES)
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, lines): the numbers of the lines each document loses."""
-    paths = (
-        docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(_path_batches, "path long, doc_id long, line int")
-    )
-    recurring = (
-        paths.select("path", "doc_id").groupBy("path")
-        .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-        .where("owner < last").select("path", "owner")
-    )
+def _earlier(found: DataFrame) -> DataFrame:
+    """Hashes that an open place of some document shares with an earlier document, the first such, and how many places."""
     return (
-        paths.join(recurring, "path").where("doc_id <> owner")
-        .groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+        found.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last"), F.count("*").alias("n"))
+        .where("owner < last").select("hash", "owner", "n")
     )
 
 
+def _marked(finder, known):
+    """Places whose hash may be known, with the owner of those that very many places share."""
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, hot, owner = known.value
+        for batch in finder(found):
+            key = batch.column(0).to_numpy()
+            bit = key.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            yes = np.flatnonzero(words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+            at = np.minimum(np.searchsorted(hot, key[yes]), len(hot) - 1)
+            cold = hot[at] != key[yes] if len(hot) else np.ones(len(yes), bool)
+            owners = pa.array(owner[at], pa.int64(), mask=cold) if len(hot) else pa.nulls(len(yes), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(yes)) for c in batch.columns), owners], names=[*_NAMES, "hot_owner"])
+
+    return batches
+
+
+def _known(shared: DataFrame):
+    """What a task needs to tell most places apart without a shuffle, of bounded size at any number of hashes.
+
+    A bit for the leading FILTER_BITS bits of every shared hash, and the shared hashes that
+    stand at more than one in HOT_SHARE of all places, with their owners.
+    """
+    bit = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    filled = shared.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - FILTER_BITS}) & 63 as int))")).alias("bits"))
+    found = filled.toPandas()
+    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = shared.where(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).select("hash", "owner").orderBy("hash").toPandas()
+    return shared.sparkSession.sparkContext.broadcast((words.view(np.uint64), hot["hash"].to_numpy(np.int64), hot["owner"].to_numpy(np.int64)))
+
+
+def _owned(docs: DataFrame, finder, label: str) -> DataFrame:
+    """The finder's places whose hash an earlier document has too, with that document as owner.
+
+    Places are found twice: once to count hashes, combined per task before the shuffle, and
+    once to keep those that may be shared. Only these are written and joined by hash; places
+    of very common hashes know their owner already and stay out of the join.
+    """
+    shared = published(_earlier(docs.mapInArrow(finder, _FOUND)), f"shared-{label}")
+    places = published(docs.mapInArrow(_marked(finder, _known(shared)), f"{_FOUND}, hot_owner long"), f"places-{label}")
+    common = places.where("hot_owner is not null").withColumnRenamed("hot_owner", "owner")
+    others = places.where("hot_owner is null").drop("hot_owner").join(shared.select("hash", "owner"), "hash")
+    return others.unionByName(common)
+
+
+def _rows(docs: DataFrame, *columns) -> DataFrame:
+    """doc_id, a number that tells rows of one doc_id apart by their text, text."""
+    text = F.col("text").cast("string")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text"), *columns)
+
+
+def recurring_lines(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, row, lines): the numbers of the lines each row loses."""
+    lost = _owned(_rows(docs), _path_batches, "lines").where("doc_id <> owner")
+    return published(lost.groupBy("doc_id", "row").agg(F.collect_set("place").alias("lines")), "recurring-lines")
+
+
 def _sequences(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     """A function that hashes the n words from each given word on."""
     word = kernel.span_hash(kernel.prefix_sums(data), start, end)
@@ -135,8 +193,8 @@ def _sequences(data: np.ndarray, start: np.ndarray, end: np.ndarray):
 def _whole_windows(batch: pa.RecordBatch) -> Iterator[tuple]:
     """For each group of texts: its first text, hash function, windows' first words and texts, which of
     all words begin a window that has lost nothing, and each text's first word."""
-    data, offsets = kernel.text_bytes(batch.column(1))
-    of_row, lost = pc.list_parent_indices(batch.column(2)).to_numpy(), pc.list_flatten(batch.column(2)).to_numpy()
+    data, offsets = kernel.text_bytes(batch.column(2))
+    of_row, lost = pc.list_parent_indices(batch.column(3)).to_numpy(), pc.list_flatten(batch.column(3)).to_numpy()
     for a, b in kernel.groups(offsets):
         part, inner = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         start, end, at, of_text = lines(part, inner)
@@ -155,9 +213,9 @@ def _whole_windows(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, lost lines) -> picked grams; `open` when a window that has lost nothing holds it."""
+    """(doc_id, row, text, lost lines) -> picked grams; `open` when a window that has lost nothing holds it."""
     for batch in batches:
-        ids = batch.column(0).to_numpy()
+        ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for a, hashed, begin, text, whole, first in _whole_windows(batch):
             gram = hashed(np.arange(len(whole) - GRAM + 1), GRAM)
             least = np.lib.stride_tricks.sliding_window_view(gram, PICKS).argmin(axis=1)
@@ -166,16 +224,15 @@ def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             count = np.concatenate([[0], np.cumsum(whole)])
             is_open = count[place + 1] > count[np.maximum(place - PICKS + 1, first[text])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[place].view(np.int64)), pa.array(ids[a + text]),
-                 pa.array((place - first[text]).astype(np.int32)), pa.array(is_open)],
-                names=["hash", "doc_id", "place", "open"])
+                [pa.array(gram[place].view(np.int64)), pa.array(ids[a + text]), pa.array(rows[a + text]),
+                 pa.array((place - first[text]).astype(np.int32)), pa.array(is_open)], names=_NAMES)
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, lost lines, places of grams) -> every window that holds one of the grams."""
+    """(doc_id, row, text, lost lines, places of grams) -> every window that holds one of the grams."""
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        of_row, near = pc.list_parent_indices(batch.column(3)).to_numpy(), pc.list_flatten(batch.column(3)).to_numpy()
+        ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        of_row, near = pc.list_parent_indices(batch.column(4)).to_numpy(), pc.list_flatten(batch.column(4)).to_numpy()
         for a, hashed, begin, text, whole, first in _whole_windows(batch):
             mine = (of_row >= a) & (of_row < a + len(first) - 1)
             marked = np.zeros(len(whole) + 1, np.int64)
@@ -185,34 +242,17 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             chosen = np.cumsum(marked)[begin] > 0
             begin, text = begin[chosen], text[chosen]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashed(begin, RUN).view(np.int64)), pa.array(ids[a + text]),
-                 pa.array((begin - first[text]).astype(np.int32)), pa.array(whole[begin])],
-                names=["hash", "doc_id", "place", "open"])
-
-
-_FOUND = "hash long, doc_id long, place int, open boolean"
-
-
-def _earlier(found: DataFrame) -> DataFrame:
-    """Hashes that an open place of some document shares with an earlier document, and the first such."""
-    return (
-        found.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last"))
-        .where("owner < last").select("hash", "owner")
-    )
+                [pa.array(hashed(begin, RUN).view(np.int64)), pa.array(ids[a + text]), pa.array(rows[a + text]),
+                 pa.array((begin - first[text]).astype(np.int32)), pa.array(whole[begin])], names=_NAMES)
 
 
-def recurring_runs(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, lines lost) -> (doc_id, runs): first words of the windows each document loses as well."""
-    docs = docs.where("doc_id is not null")
-    grams = docs.mapInArrow(_gram_batches, _FOUND)
-    near = published(
-        grams.join(_earlier(grams).select("hash"), "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("near")),
-        "near-runs")
-    windows = docs.join(near, "doc_id").select(*docs.columns, "near").mapInArrow(_window_batches, _FOUND)
-    return published(
-        windows.where("open").join(_earlier(windows), "hash").where("doc_id <> owner")
-        .groupBy("doc_id").agg(F.collect_set("place").alias("runs")),
-        "recurring-runs")
+def recurring_runs(docs: DataFrame, lost: str) -> DataFrame:
+    """docs(doc_id, text, lines lost) -> (doc_id, row, runs): first words of the windows each row loses as well."""
+    rows = _rows(docs, F.col(lost))
+    near = published(_owned(rows, _gram_batches, "grams").groupBy("doc_id", "row").agg(F.collect_set("place").alias("near")), "near-runs")
+    windows = published(rows.join(near, ["doc_id", "row"]).select(*rows.columns, "near").mapInArrow(_window_batches, _FOUND), "windows")
+    found = _owned(windows, lambda batches: batches, "windows").where("open and doc_id <> owner")
+    return published(found.groupBy("doc_id", "row").agg(F.collect_set("place").alias("runs")), "recurring-runs")
 
 
 def _rewritten(data: bytes, gone: np.ndarray, runs: np.ndarray) -> tuple[str, int, int]:
@@ -272,17 +312,19 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     Documents that lose nothing keep their text byte for byte, nulls included. Where
     lines go, the kept ones stay in order, apart by a newline if one stood between them,
     else by a space; a document may end up empty but never goes. A null doc_id neither
-    owns nor loses a line. Rows that repeat a doc_id are one document. Other columns are
-    kept as they are, also when they are named like the new ones, which then win.
+    owns nor loses a line. Rows that repeat a doc_id own their lines together and lose
+    them each from its own text. An empty table gives no rows. Other columns are kept as
+    they are, also when they are named like the new ones, which then win.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    key, gone_at, runs_at = free_name(docs, "lost_by"), free_name(docs, "lost_lines"), free_name(docs, "lost_runs")
+    key, row, gone_at, runs_at = (free_name(docs, n) for n in ("lost_by", "lost_row", "lost_lines", "lost_runs"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def with_lost(rows: DataFrame, found: DataFrame, name: str, to: str) -> DataFrame:
-        found = found.select(F.col("doc_id").alias(key), F.col(name).alias(to))
-        return rows.join(found, rows["doc_id"].cast("long") == found[key], "left").drop(key)
+        found = found.select(F.col("doc_id").alias(key), F.col("row").alias(row), F.col(name).alias(to))
+        same = (rows["doc_id"].cast("long") == found[key]) & (F.xxhash64(rows["text"].cast("string")) == found[row])
+        return rows.join(found, same, "left").drop(key, row)
 
     held = published(with_lost(docs, recurring_lines(docs), "lines", gone_at), "lined")
-    runs = recurring_runs(held.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(gone_at)))
+    runs = recurring_runs(held, gone_at)
     return with_lost(held, runs, "runs", runs_at).mapInArrow(_rewrite(schema, docs.columns.index("text")), schema)

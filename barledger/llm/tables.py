@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
-from barledger.session import materialise, ship_package
+from barledger.session import checkpoint_root, ship_package
+
+_open: list[str] | None = None
+_finished: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def published(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts lineage, survives lost executors."""
-    return materialise(df, f"llm-{label}")
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_root(spark), f"llm-{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    if _open is not None:
+        _open.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete published tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+@contextmanager
+def stage(spark: SparkSession) -> Iterator[None]:
+    """Around one stage of a pipeline whose result is written before the next stage begins.
+
+    What the stage publishes on its way is deleted when the next one begins: its result may
+    still be lazy until then, and not afterwards.
+    """
+    global _open, _finished
+    discard(spark, _finished)
+    _open, _finished = [], []
+    try:
+        yield
+    finally:
+        _open, _finished = None, _open
 
 
 def free_name(df: DataFrame, base: str) -> str:

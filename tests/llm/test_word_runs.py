@@ -23,3 +23,30 @@ def test_runs_of_over_50_words_go_wherever_they_begin(spark):
         assert (got[i].text, got[i].n_lines, got[i].n_dropped) == (" ".join([*own[i][0], *own[i][1]]), 1, 1)
     assert got[5].text == " ".join(own[5][0]) + "\n" + " ".join(own[5][1]) and got[5].n_dropped == 20
     assert got[8].text == " ".join(own[8][0])
+
+
+def test_rows_that_repeat_an_id_lose_their_own_lines_only(spark):
+    rng = random.Random(18)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(8)) + "."
+    shared, run = line(), " ".join("".join(rng.choices("klmnop", k=9)) for _ in range(70))
+    own = [line() for _ in range(50)]
+    rows = [(7, shared), (7, f"{own[0]}\n{own[1]}"), (7, "\n".join([*own[2:], shared])), (3, f"{line()}\n{shared}"),
+            (9, f"start {run} end"), (9, own[0]), (4, f"other {run} words"), (9, f"start {run} end")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"nth int, {DOCS}").repartition(3)
+    got = {r.nth: (r.text, r.n_lines, r.n_dropped) for r in line_templates.drop_recurring_lines(df).collect()}
+    assert got[0] == ("", 1, 1) and got[1] == (rows[1][1], 2, 0) and got[2] == ("\n".join(own[2:]), 49, 1)
+    assert got[3] == (rows[3][1], 2, 0) and got[6] == (rows[6][1], 1, 0)
+    assert got[5] == ("", 1, 1) and got[4] == got[7] == ("start end", 1, 1)
+
+
+def test_very_common_hashes_stay_out_of_the_join(spark, monkeypatch):
+    rng = random.Random(19)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(9)) + "."
+    hot, warm = line(), line()
+    rows = [(i, "\n".join([line(), hot, *([warm] if i % 10 == 3 else [])])) for i in range(60)]
+    plain = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    monkeypatch.setattr(line_templates, "HOT_LEAST", 20)
+    monkeypatch.setattr(line_templates, "HOT_SHARE", 10)
+    split = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert split == plain
+    assert sum(hot in t for t in split.values()) == 1 and sum(warm in t for t in split.values()) == 1
