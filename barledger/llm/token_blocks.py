@@ -112,14 +112,22 @@ _caches: dict[str, PartCache] = {}
 _LETTER_MARKS = r"(\pL)([!-&(-/:-@\[-`{-~])"
 
 
+@functools.cache
+def _left_alone() -> str:
+    """A pattern for special tokens and for letters that the normaliser ends in a mark, such as U+0130 and U+0958."""
+    letters = (c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalpha())
+    return r"<\||[" + "".join(c for c in letters if not unicodedata.normalize("NFC", c).lower()[-1].isalpha()) + "]"
+
+
 def loosened(texts: pa.Array) -> pa.Array:
     """The same words for the tokenizer, in fewer distinct parts.
 
-    Left alone are texts with combining marks, which compose before case is dropped, and
+    Left alone are texts with combining marks, which compose before case is dropped, texts
+    with letters that end in such a mark once they are composed and case is dropped, and
     texts that might hold a special token, which is matched before anything else.
     """
     data, _ = kernel.text_bytes(texts)
-    if ((data == 0xCC) | (data == 0xCD)).any() or pc.any(pc.match_substring(texts, "<|")).as_py():
+    if ((data == 0xCC) | (data == 0xCD)).any() or pc.any(pc.match_substring_regex(texts, _left_alone())).as_py():
         return texts
     return pc.replace_substring_regex(pc.ascii_lower(texts), _LETTER_MARKS, r"\1 \2")
 

@@ -165,6 +165,22 @@ def test_parts_give_the_ids_of_whole_texts(texts):
     assert list(ids) == [i for t in texts for i in model.encode(t, add_special_tokens=False).ids]
 
 
+def test_every_letter_before_every_mark():
+    """Loosened texts have the ids of whole texts for all letters; of the large regular scripts every 97th."""
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    letters = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    letters = [c for c in letters if not ("\u3400" <= c <= "\ud7a3" or c >= "\U00010000") or ord(c) % 97 == 0]
+    model = token_blocks._tokenizer(WORDS_BPE)
+    texts = [" ".join(f"a{c}{m}b {c}{m} {m}{c}" for m in marks) for c in letters]
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        for group in ([t for t in some if "\u0130" not in t], [t for t in some if "\u0130" in t]):
+            ids, count = token_blocks.encode_texts(WORDS_BPE, pa.array(group, pa.large_string()))
+            want = [e.ids for e in model.encode_batch(group, add_special_tokens=False)]
+            assert count.tolist() == [len(w) for w in want]
+            assert ids.tolist() == list(itertools.chain.from_iterable(want))
+
+
 def test_token_blocks_hold_every_id_in_order(spark):
     from tokenizers import Tokenizer
 
