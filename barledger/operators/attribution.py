@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barledger.operators.ordered import BAR_CHUNK_SECONDS, previous_row, running
+from barledger.operators.selection import exact_medians
+from barledger.session import materialise
 
 #: 2^22 half sums are 32 MB.
 MAX_SIGNFLIP_EPOCHS = 44
@@ -89,12 +91,15 @@ def campaigns(ledger: DataFrame, keys: Sequence[str], seconds: int = BAR_CHUNK_S
 
 
 def campaign_summary(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return runs.groupBy(*keys, "side").agg(
+    """Per side: how many campaigns, mean, exact median and share of winners."""
+    written = materialise(runs.select(*keys, "side", "log_return"), "campaigns")
+    plain = written.groupBy(*keys, "side").agg(
         F.count("*").alias("campaigns"),
         F.avg("log_return").alias("mean_log_return"),
-        F.percentile("log_return", 0.5).alias("median_log_return"),
         F.avg((F.col("log_return") > 0).cast("double")).alias("win_rate"),
     )
+    medians = exact_medians(written, [*keys, "side"], "log_return", "median_log_return")
+    return plain.join(medians, [*keys, "side"], "left")
 
 
 def side_attribution(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,8 +6,7 @@ starting from a segment genesis, and segment tails chain into seals. Changing an
 record still breaks its chain, its seal and every later seal, yet segments are built
 in parallel and no task ever holds more than one of them.
 
-Everything a record states (bar hash, state hashes, body hash) is computed by built-in
-expressions; only the linking of ready-made body hashes runs as a small Python loop.
+Everything a record states and the links themselves are computed by built-in expressions.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,15 +95,25 @@ def build_journal(
         .select(*keys, *_BODY, "body_hash", "previous_record_hash", "record_hash")
     )
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        before, links = [], [pdf["previous_record_hash"].iloc[0]]
-        for body in pdf["body_hash"]:
-            before.append(links[-1])
-            links.append(next_link(links[-1], body))
-        return pdf.assign(previous_record_hash=before, record_hash=links[1:])
+    return _linked(records, keys)
 
-    return records.groupBy(*keys, "segment").applyInPandas(link, records.schema)
+
+def _linked(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Records with their links: one segment is one sorted array, hashed along by built-in functions."""
+    held = [c for c in records.columns if c not in (*keys, "segment", "previous_record_hash", "record_hash")]
+    segments = records.groupBy(*keys, "segment").agg(
+        F.sort_array(F.collect_list(F.struct("seq", *[c for c in held if c != "seq"]))).alias("r"),
+        F.min("previous_record_hash").alias("genesis"),  # the same in all records of a segment
+    )
+    links = F.aggregate(
+        F.col("r.body_hash"), F.array("genesis"),
+        lambda out, body: F.array_append(out, F.sha2(F.concat_ws("|", F.element_at(out, -1), body), 256)))
+    n = F.size("r")
+    rows = segments.withColumn("links", links).select(
+        *keys, "segment", F.inline(F.arrays_zip("r", F.slice("links", 1, n).alias("before"), F.slice("links", 2, n).alias("link"))))
+    return rows.select(
+        *[F.col("before").alias(c) if c == "previous_record_hash" else F.col("link").alias(c) if c == "record_hash"
+          else F.col(c) if c in (*keys, "segment") else F.col(f"r.{c}").alias(c) for c in records.columns])
 
 
 def _chain_seals(tails: DataFrame, keys: Sequence[str]) -> DataFrame:

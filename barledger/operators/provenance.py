@@ -12,6 +12,7 @@ from barledger.functions.digest import record_hash, plain_text, set_digest
 from barledger.functions.predicates import finite_double, is_sha256
 from barledger.operators.dedupe import out_of_order
 from barledger.operators.gates import ELIGIBLE_STATUSES, FULL_SCOPE
+from barledger.session import materialise
 
 CONTRACT_SCHEMA = "barledger-artifact/v1"
 ARTIFACT_KINDS = ("ab_forward_states", "paper_bars")
@@ -235,3 +236,88 @@ def verify_seed(
     unsafe = declared.filter(F.array_contains(F.split("path", "/"), "..")).select(*keys, "path", F.lit("UNSAFE_PATH").alias("problem"))
     files = compare_files(declared, current, keys).filter(F.col("problem").isin("MISSING", "MISMATCH")).select(*keys, "path", "problem")
     return heads.unionByName(unsafe).unionByName(files)
+
+
+def parent_chains(contracts: DataFrame, keys: Sequence[str], digest: str = "contract_sha256", parent: str = "parent_sha256") -> DataFrame:
+    """Where each contract's line of parents ends: (keys, digest, depth, end, status).
+
+    OK: the line ends after ``depth`` steps at a contract without a parent, ``end``.
+    MISSING_ANCESTOR: it ends at ``end``, which no contract has. CYCLE: it never ends.
+    Every round doubles the steps a contract looks ahead, so a line of any length is done
+    in the logarithm of it; contracts whose end is known leave the rounds. Digests are
+    unique within ``keys``; a repeated one stops the job.
+    """
+    keys = list(keys)
+    known = materialise(contracts.select(*keys, F.lower(digest).alias("_id"), F.lower(parent).alias("_to")), "contracts")
+    copies = known.groupBy(*keys, "_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if copies:
+        raise IntegrityError(f"two contracts with one digest: {copies[0].asDict()}")
+    total = known.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    # _end: where the line is known to end; else _to is 'steps' ahead of _id.
+    first = known.alias("a").join(known.select(*keys, F.col("_id").alias("_to"), F.lit(True).alias("_there")), [*keys, "_to"], "left").select(
+        *keys, "_id", "_to", F.when(F.col("_to").isNull(), F.lit("OK")).when(F.col("_there").isNull(), F.lit("MISSING_ANCESTOR")).alias("_status"),
+        F.when(F.col("_to").isNull(), 0).otherwise(1).cast("bigint").alias("_steps"),
+        F.when(F.col("_to").isNull(), F.col("_id")).when(F.col("_there").isNull(), F.col("_to")).alias("_end"))
+    ahead = materialise(first, "ahead")
+    done, reach = ahead.where("_status is not null"), 1
+    while reach <= 2 * total and ahead.where("_status is null").limit(1).collect():
+        next_ = ahead.select(*keys, F.col("_id").alias("_to"), F.col("_to").alias("_next"), F.col("_status").alias("_s"), F.col("_steps").alias("_more"), F.col("_end").alias("_e"))
+        moved = ahead.where("_status is null").join(next_, [*keys, "_to"]).select(
+            *keys, "_id", F.col("_next").alias("_to"), F.col("_s").alias("_status"), (F.col("_steps") + F.col("_more")).alias("_steps"), F.col("_e").alias("_end"))
+        ahead = materialise(ahead.where("_status is not null").unionByName(moved), "ahead")
+        reach *= 2
+    rest = ahead.select(*keys, F.col("_id").alias("digest"), F.when(F.col("_status").isNotNull(), F.col("_steps")).alias("depth"),
+                        F.col("_end").alias("end"), F.coalesce("_status", F.lit("CYCLE")).alias("status"))
+    return rest
+
+
+# ---- digest trees -------------------------------------------------------------
+
+TREE_DEPTH = 3
+
+
+def _leaf(depth: int) -> Column:
+    return F.substring(F.sha2(F.col("path"), 256), 1, depth)
+
+
+def digest_tree(files: DataFrame, keys: Sequence[str], depth: int = TREE_DEPTH) -> DataFrame:
+    """(keys, level, node, digest, files): a tree of fan-out 16 over a file set (keys, path, sha256).
+
+    A file belongs to the leaf that the first ``depth`` digits of its path's hash name; a
+    node's digest is that of its children's, up to the one root of level 0.
+    """
+    keys = list(keys)
+    line = record_hash([plain_text(F.col("path")), F.lower(plain_text(F.col("sha256")))])
+    level = files.groupBy(*keys, _leaf(depth).alias("node")).agg(set_digest(line).alias("digest"), F.count("*").alias("files"))
+    tree = None
+    for n in range(depth, -1, -1):
+        here = level.select(*keys, F.lit(n).alias("level"), "node", "digest", "files")
+        tree = here if tree is None else tree.unionByName(here)
+        if n:
+            level = level.groupBy(*keys, F.substring("node", 1, n - 1).alias("node")).agg(
+                set_digest(F.concat_ws("|", "node", "digest")).alias("digest"), F.sum("files").alias("files"))
+    return tree
+
+
+def unlike_leaves(ours: DataFrame, theirs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, node) of the leaves in which two stored trees differ; only children of unlike nodes are compared."""
+    keys = list(keys)
+    depth = ours.unionByName(theirs).agg(F.max("level")).first()[0]
+    suspects = None
+    for n in range((depth or 0) + 1):
+        a, b = (t.where(F.col("level") == n).select(*keys, "node", F.col("digest").alias(d)) for t, d in ((ours, "_a"), (theirs, "_b")))
+        if suspects is not None:
+            above = suspects.withColumnRenamed("node", "_above")
+            a, b = (t.withColumn("_above", F.substring("node", 1, n - 1)).join(above, [*keys, "_above"], "left_semi").drop("_above") for t in (a, b))
+        both = a.join(b, [*keys, "node"], "full")
+        suspects = materialise(both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys, "node"), "unlike")
+    return suspects
+
+
+def compare_trees(declared: DataFrame, current: DataFrame, declared_tree: DataFrame, current_tree: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``compare_files`` without the files that agree, from files of unlike leaves alone."""
+    keys = list(keys)
+    depth = declared_tree.unionByName(current_tree).agg(F.max("level")).first()[0] or 0
+    leaves = unlike_leaves(declared_tree, current_tree, keys)
+    near = lambda files: files.withColumn("node", _leaf(depth)).join(leaves, [*keys, "node"], "left_semi").drop("node")
+    return compare_files(near(declared), near(current), keys).where("problem <> 'OK'")

@@ -6,7 +6,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,14 +14,14 @@ from barledger import schemas
 from barledger.functions import clock, predicates
 from barledger.functions.digest import bar_hash
 from barledger.operators import (
-    asof, attribution, campaign, candles, dedupe, evidence, exposure, gates, journal, ledger,
+    asof, attribution, campaign, candles, dedupe, evidence, exposure, gates, intervals, journal, ledger,
     ordered, provenance, quality, reconcile,
 )
 from barledger.plans import evaluation, testbed as tb
 from barledger.checks import fail_closed
 from barledger.operators.candles import bars_from_ticks
 from barledger.session import checkpoint_root, materialise
-from barledger.sources import journal_sink, readers, sinks
+from barledger.sources import files, journal_sink, readers, sinks
 from barledger.streaming import rollup
 from barledger.streaming.chunks import (
     SETTLED, Stages, beats_after, checked_recovery, measured_lateness, none_late, settled_chunks, settled_ledger, settled_states, stream_retries,
@@ -886,12 +886,53 @@ def src_execution_bars(spark, sf):
 
 @query
 def src_files(spark, sf):
-    """Files of a landed table: how many there are, and that each has bytes and a digest."""
+    """Digests and sizes of the files of a landed tape: all ticks as lines, a file per symbol and day."""
     path = _folder(spark, "files")
-    tb.ticks(spark, sf).groupBy(*K).agg(F.count("*").alias("n")).write.partitionBy(*K).json(path)
-    files = readers.scan_files(spark, path, "*.json")
-    return files.select(
-        F.regexp_extract("path", "symbol=([^/]*)", 1).alias("symbol"), predicates.is_sha256(F.col("sha256")).alias("digest"), (F.col("bytes") > 0).alias("filled"))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    line = F.concat_ws("|", F.col("seq").cast("string"), F.unix_micros(F.col("ts").cast("timestamp")).cast("string"))
+    lines = tb.ticks(spark, sf).select(*K, day.alias("day"), "seq", line.alias("value"))
+    lines.repartition(*K, "day").sortWithinPartitions(*K, "day", "seq").drop("seq").write.partitionBy(*K, "day").text(path)
+    found = files.scan_files(spark, path, "*.txt")
+    named = lambda c: F.regexp_extract("path", f"{c}=([^/]*)", 1).alias(c)
+    return found.select(named("symbol"), named("day"), "sha256", "bytes")
+
+
+@query
+def mixed_windows(spark, sf):
+    """Bars in windows of many widths that lie on no grid: from the first to the last tick of hours, six-hour spans and days."""
+    ticks = tb.ticks(spark, sf)
+    windows = None
+    for width, divisor in (("1 hour", 2), ("6 hours", 3), ("1 day", 1)):
+        one = ticks.groupBy(*K, F.window("ts", width).alias("w")).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"))
+        one = one.where(F.col("n") % divisor == 0).select(*K, "start", "end")
+        windows = one if windows is None else windows.unionByName(one)
+    bars = tb.bars_15m(spark, sf).select(*K, "open_time", "number_of_trades")
+    met = intervals.points_in_windows(bars, windows, K, "open_time")
+    return met.groupBy(*K, "start", "end").agg(
+        F.count("*").alias("bars"), F.min("open_time").alias("first_open"), F.max("open_time").alias("last_open"), F.sum("number_of_trades").alias("trades"))
+
+
+@query
+def contract_chains(spark, sf):
+    """Contracts that build on those of the day before: some build on a lost one, and one symbol's run in a circle."""
+    day = F.to_date("ts")
+    days = tb.ticks(spark, sf).groupBy(*K, day.alias("day")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*K).orderBy("day")  # one row per symbol and day
+    name = lambda c: F.sha2(F.concat_ws("|", "symbol", c.cast("string")), 256)
+    ends = Window.partitionBy(*K)
+    first = F.when(F.col("symbol").startswith("s"), F.max("day").over(ends))
+    parent = F.when(F.col("n") % 7 == 0, F.sha2(F.lit("lost"), 256)).otherwise(name(F.coalesce(F.lag("day").over(before), first)))
+    whole = F.coalesce(F.lag("day").over(before), first).isNotNull() | (F.col("n") % 7 == 0)
+    signed = days.select(*K, name(F.col("day")).alias("contract_sha256"), F.when(whole, parent).alias("parent_sha256"))
+    return provenance.parent_chains(signed, K)
+
+
+@query
+def tree_diff(spark, sf):
+    """What differs between two file sets, found by descending their digest trees."""
+    declared, current = (materialise(files_, "files") for files_ in tb.day_files(spark, sf))
+    trees = [materialise(provenance.digest_tree(files_, K), "tree") for files_ in (declared, current)]
+    return provenance.compare_trees(declared, current, *trees, K)
 
 
 @query

@@ -183,16 +183,3 @@ def read_gates(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         spark.read.schema(schemas.GATE).option("multiLine", True).option("mode", "FAILFAST").json(path)
         .withColumn("gate_file", F.col("_metadata.file_path"))
     )
-
-
-def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, sha256, bytes) of every file under ``root``, path relative to it."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
-    base = root.rstrip("/") + "/"
-    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + base, "")
-    return files.select(relative.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))

@@ -651,7 +651,25 @@ UNION ALL SELECT symbol, ts, seq, event_type, NULL, NULL, true FROM judged WHERE
     "src_events": "WITH e AS (SELECT event_type AS key, ts AS timestamp, " + "CASE event_id % " + str(len(EVENT_NAMES)) + "".join(f" WHEN {k} THEN '{t}'" for k, t in enumerate(EVENT_NAMES))
       + " END AS event_type, event_id::VARCHAR AS note FROM events) SELECT * FROM e",
     "src_execution_bars": with_(*TICK_X, NEXT_OPEN) + f"SELECT timestamp, {r('open', 'open')}, {r('close', 'close')}, {r('target_exposure', 'target_exposure')} FROM n4",
-    "src_files": with_(TICKS) + "SELECT DISTINCT symbol, true AS digest, true AS filled FROM ticks",
+    "src_files": """WITH l AS (SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d') AS day, event_id AS seq, event_id || '|' || epoch_us(ts) AS line FROM events),
+      f AS (SELECT symbol, day, string_agg(line, chr(10) ORDER BY seq) || chr(10) AS body FROM l GROUP BY ALL)
+      SELECT symbol, day, sha256(body) AS sha256, strlen(body)::BIGINT AS bytes FROM f""",
+    "mixed_windows": with_(TICKS, B15, """wide AS (
+      SELECT symbol, min(ts) AS start, max(ts) AS "end", count(*) AS n, 2 AS divisor FROM ticks GROUP BY symbol, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01')
+      UNION ALL SELECT symbol, min(ts), max(ts), count(*), 3 FROM ticks GROUP BY symbol, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')
+      UNION ALL SELECT symbol, min(ts), max(ts), count(*), 1 FROM ticks GROUP BY symbol, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'))""") + """
+      SELECT w.symbol, start, "end", count(*) AS bars, min(open_time) AS first_open, max(open_time) AS last_open, sum(number_of_trades)::BIGINT AS trades
+      FROM wide w JOIN b15 b ON b.symbol = w.symbol AND b.open_time >= w.start AND b.open_time < w."end" WHERE n % divisor = 0 GROUP BY w.symbol, start, "end" """,
+    "contract_chains": """WITH RECURSIVE days AS (SELECT event_type AS symbol, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL),
+      placed AS (SELECT *, coalesce(lag(day) OVER (PARTITION BY symbol ORDER BY day), CASE WHEN symbol LIKE 's%' THEN max(day) OVER (PARTITION BY symbol) END) AS above FROM days),
+      con AS (SELECT symbol, sha256(symbol || '|' || day) AS id, CASE WHEN n % 7 = 0 THEN sha256('lost') WHEN above IS NOT NULL THEN sha256(symbol || '|' || above) END AS parent FROM placed),
+      walk(symbol, id, cur, steps) AS (SELECT symbol, id, id, 0 FROM con
+        UNION ALL SELECT w.symbol, w.id, c.parent, w.steps + 1 FROM walk w JOIN con c ON c.symbol = w.symbol AND c.id = w.cur WHERE c.parent IS NOT NULL AND w.steps < 200),
+      far AS (SELECT symbol, id, max(steps) AS steps, arg_max(cur, steps) AS cur FROM walk GROUP BY symbol, id)
+      SELECT f.symbol, f.id AS digest, CASE WHEN steps < 200 THEN steps::BIGINT END AS depth, CASE WHEN steps < 200 THEN cur END AS "end",
+        CASE WHEN steps = 200 THEN 'CYCLE' WHEN c.id IS NULL THEN 'MISSING_ANCESTOR' ELSE 'OK' END AS status
+      FROM far f LEFT JOIN con c ON c.symbol = f.symbol AND c.id = f.cur""",
+    "tree_diff": with_(TICKS, DAY_FILES) + "SELECT * FROM compared WHERE problem <> 'OK'",
     "stream_rollup_2h": with_(TICKS, B15) + rolled("b15", right_closed("2 HOUR")),
     "stream_resume": with_(*TICK_X, NEXT_OPEN) + f"""SELECT symbol, candidate, timestamp, 'PROCESSED' AS status, {r('held_exposure', 'held_exposure')}, {r('turnover', 'turnover')},
       {r('equity', 'equity')}, {r('target_exposure', 'pending_target')} FROM n4 WHERE timestamp > TIMESTAMP '2024-01-20'""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barledger.checks import IntegrityError
 from barledger.operators import journal, provenance
-from barledger.sources import readers, sinks
+from barledger.sources import files, readers, sinks
 
 def freeze():
     return F.lit("2024-01-01").cast("timestamp")
@@ -23,7 +23,7 @@ def test_manifest_notices_every_byte(spark, tmp_path):
     write(tmp_path / "a/x.csv", "one")
     write(tmp_path / "b/x.csv", "two")  # the same base name elsewhere is another file
     run = F.lit("run1").alias("run_id")
-    scan = lambda: readers.scan_files(spark, str(tmp_path)).select(run, "path", "sha256", "bytes")
+    scan = lambda: files.scan_files(spark, str(tmp_path)).select(run, "path", "sha256", "bytes")
     declared = spark.createDataFrame(scan().collect())
     assert {r.path for r in declared.collect()} == {"a/x.csv", "b/x.csv"}
     head = spark.createDataFrame(provenance.build_manifest(declared, ["run_id"]).collect())
