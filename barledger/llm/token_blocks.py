@@ -18,8 +18,11 @@ once as long as a worker remembers it.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
