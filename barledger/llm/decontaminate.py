@@ -7,7 +7,9 @@ that occur in the benchmark are counted per item in overlapping bands of diagona
 only bands with enough of them are verified by an alignment that stays inside the band.
 
 The benchmark's index goes to every task. Its size is checked: beyond `CHUNK_CHARS` the
-benchmark is cut into chunks by hash and the documents are scanned once for each.
+benchmark is cut into chunks by hash, the documents are scanned once for each, and a
+chunk's index is released before the next one is built. An index holds about 24 bytes a
+character and a table of at most 64 MB, so a chunk takes about 170 MB of a worker.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barledger.llm import kernel
+from barledger.llm.tables import published
 
 Q = 12
 EDIT_RATE = 0.07
-CHUNK_CHARS = 1 << 24
+CHUNK_CHARS = 1 << 22
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +112,8 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     for q, members in by_q.items():
         codes = [gram_codes(texts[k], q) for k in members]
         value = np.concatenate(codes)
-        item = np.repeat(np.array(members), [len(c) for c in codes])
-        place = np.concatenate([np.arange(len(c)) for c in codes])
+        item = np.repeat(np.array(members, np.int32), [len(c) for c in codes])
+        place = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes])
         order = np.argsort(value, kind="stable")
         value, item, place = value[order], item[order], place[order]
         unique, begin = np.unique(value, return_index=True)
@@ -118,7 +121,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         shift = np.uint64(64 - min(max(len(unique).bit_length() + 6, 16), 26))
         known = np.zeros(1 << int(64 - shift), bool)
         known[unique >> shift] = True
-        grams[q] = (shift, known, unique, np.append(begin, len(value)), item, place)
+        grams[q] = (shift, known, unique, np.append(begin, len(value)).astype(np.int32), item, place)
     size = np.array([len(t) for t in texts], np.int64)
     return Index(np.array([i for i, _ in items], np.int64), texts, size, np.array([budget(m) for m in size], np.int64), grams)
 
@@ -241,6 +244,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == chunk)
         index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()]))
         hits = texts.mapInArrow(_scan(index), "doc_id long, item_id long, edits long")
+        if chunks > 1:
+            hits = published(hits, "benchmark-hits")
+            index.unpersist()
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
