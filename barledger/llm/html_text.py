@@ -447,7 +447,11 @@ def main_texts(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     total = rows.count()
     share = F.shiftrightunsigned(F.xxhash64("page_id", "url"), 11) / float(1 << 53)
-    sample = rows.where(share < SAMPLE_PAGES / max(total, 1)).select("html").toLocalIterator()
+    # Equal ids and urls share a hash; however many such rows there are, 2 * SAMPLE_PAGES come.
+    sample = (
+        rows.where(share < SAMPLE_PAGES / max(total, 1)).orderBy(share, F.xxhash64("html"))
+        .limit(2 * SAMPLE_PAGES).select("html").toLocalIterator()
+    )
     words: set[str] = set()
     for row in sample:
         words.update(w for t in Page(row[0] or "").text for w in t.replace("\x01", "").replace("\x02", "").split())
