@@ -335,6 +335,44 @@ def test_the_prior_is_near_the_truth():
     assert 0.7 < prior < 0.8  # 2000 of 2600
 
 
+def test_sums_over_cells_equal_a_plain_loop(spark):
+    """Gradient, mean score and counts against one row after the other; the risk falls along it."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (40, len(quality.FEATURES))).round(1)
+    x[20:30] = x[:10]
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "doc_id long, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    quantiles = quality.corpus_quantiles(rows)
+    assert quantiles.shape == (len(quality.FEATURES), len(quality.QUANTILES))
+    edges = quality._edges(x[:7], quantiles)
+    model = quality.Model(edges)
+    model.weights = rng.normal(0, 0.3, len(model.weights))
+    sums = quality.corpus_sums(rows.repartition(3), edges)
+    for bounded in (False, True):
+        found = sums(quality._slopes(model.weights, bounded), None)
+        want, scores = np.zeros(len(model.weights)), 0.0
+        for r in x:
+            at = [k * (quality.BINS + 1) + sum(e <= v for e in edges[k]) for k, v in enumerate(r)]
+            score = 1 / (1 + np.exp(-(sum(model.weights[a] for a in at) + model.weights[-1])))
+            slope = score * (1 - score) if bounded else score
+            want[at] += slope
+            want[-1] += slope
+            scores += score
+        assert np.allclose(found[:-2] / quality.UNIT, want, atol=1e-5) and found[-1] == 40
+        assert abs(found[-2] / quality.UNIT - scores) < 1e-5
+        parts = sums(quality._slopes(model.weights, bounded), 0) + sums(quality._slopes(model.weights, bounded), 1)
+        assert (parts == found).all()
+
+    def risk(weights, prior=0.4):
+        s_p, s_u = (1 / (1 + np.exp(-quality._margin(model.bins(v), weights))) for v in (x[:7], x))
+        return prior * (1 - s_p).mean() + max(0.0, s_u.mean() - prior * s_p.mean())
+
+    fitted = quality._fit(model.bins(x[:7]), edges, sums, None, 0.4)
+    assert risk(fitted.weights) < risk(np.zeros(len(model.weights))) - 0.1
+    thresholds = np.sort(model.margin(x[:9]))
+    reached = sums(quality._reaching(model.weights, thresholds), None)
+    assert list(reached) == [40] + [int((model.margin(x) >= t).sum()) for t in thresholds]
+
+
 # ---------------------------------------------------------------- kernel
 
 @pytest.mark.parametrize("group", [8, 1 << 20])
