@@ -33,8 +33,9 @@ THRESHOLD = 0.3
 #: rare in it: close together at both ends.
 QUANTILES = (0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.2, 0.4, 0.6, 0.8, 0.9, 0.93, 0.96, 0.98, 0.99, 0.995, 0.998)
 BINS = 2 * len(QUANTILES)
-#: Steps of a fit, each one pass over the cells, and their length.
-STEPS, RATE = 120, 0.2
+#: Steps of a fit, each one pass over the cells, and their length: for the prior, for the model.
+PRIOR_STEPS, PRIOR_RATE = 20, 0.4
+STEPS, RATE = 60, 0.3
 #: Parts of one in which scores and slopes are summed.
 UNIT = float(1 << 24)
 FEATURES = (
@@ -166,8 +167,10 @@ def _fit(at_p: np.ndarray, edges: np.ndarray, sums: Sums, half: int | None, prio
     def means(total: np.ndarray) -> tuple[np.ndarray, float, float]:
         return total[:-2] / UNIT / total[-1], total[-2] / UNIT / total[-1], total[-1]
 
-    for step in range(1, STEPS + 1):
-        w, bounded = model.weights, prior is not None
+    bounded = prior is not None
+    steps, rate = (STEPS, RATE) if bounded else (PRIOR_STEPS, PRIOR_RATE)
+    for step in range(1, steps + 1):
+        w = model.weights
         measure = _slopes(w, bounded)
         pull_p, s_p, _ = means(measure(at_p, count))
         pull_u, s_u, rows = means(sums(measure, half))
@@ -183,7 +186,7 @@ def _fit(at_p: np.ndarray, edges: np.ndarray, sums: Sums, half: int | None, prio
         # A bin that a single unlabelled text falls into can't earn much of a weight.
         grad = grad + 0.5 / rows * w
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        model.weights = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        model.weights = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return model
 
 
