@@ -410,3 +410,16 @@ def test_components(spark):
     random.Random(0).shuffle(chain)
     assert {r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()} == {0}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pages_with_equal_ids_give_a_bounded_sample(spark, monkeypatch):
+    """Null ids and urls hash alike: the words of at most 2 * SAMPLE_PAGES pages are learnt."""
+    from barledger.llm import html_text
+
+    seen = []
+    real = html_text.train
+    monkeypatch.setattr(html_text, "SAMPLE_PAGES", 3)
+    monkeypatch.setattr(html_text, "train", lambda words: seen.append(words) or real(words))
+    rows = [(None, None, f"<html><body><p>word{i}x</p></body></html>") for i in range(60)]
+    found = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert found.count() == 60 and 0 < len(seen[0]) <= 6
