@@ -76,16 +76,18 @@ def groups(offsets: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-#: Word separators: space and the ASCII controls 9 to 13.
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def solid(data: np.ndarray) -> np.ndarray:
+    """Bytes of words: all but space and the ASCII controls 9 to 13."""
+    return (data != 32) & (data - np.uint8(9) > 4)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for every text the number of words before it."""
-    text = ~SPACE[data]
+    text = solid(data)
     left = text.copy()
     left[1:] &= ~text[:-1]
     right = text.copy()

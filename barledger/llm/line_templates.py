@@ -61,8 +61,8 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         return start, end, np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
     breaks = np.zeros(len(start), bool)
     breaks[first[:-1][np.diff(first) > 0]] = True
-    newlines = np.cumsum(data == 10)
-    breaks[1:] |= newlines[start[1:]] != newlines[start[:-1]]
+    after = np.searchsorted(start, np.flatnonzero(data == 10))
+    breaks[after[after < len(start)]] = True
     breaks[1:] |= _ENDS[data[end[:-1] - 1]]
     at = np.flatnonzero(breaks)
     return start, end, np.append(at, len(start)), np.searchsorted(at, first)
@@ -77,8 +77,7 @@ def template_paths(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     if not len(chosen):
         return empty, empty, np.zeros(0, np.uint64)
     word = kernel.span_hash(kernel.prefix_sums(data), start, end)
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    word[digits[end] > digits[start]] = _MASK
+    word[np.searchsorted(start, np.flatnonzero((data >= 48) & (data <= 57)), side="right") - 1] = _MASK
     # A position-bound sum: the hash of words a..b of a line starting at s is the sum of
     # word * odd power of the position in the line.
     place = np.arange(len(word)) - np.repeat(at[:-1], size)
@@ -156,15 +155,25 @@ def _known(shared: DataFrame):
     return shared.sparkSession.sparkContext.broadcast((words.view(np.uint64), hot["hash"].to_numpy(np.int64), hot["owner"].to_numpy(np.int64)))
 
 
+def _counted(finder):
+    """What counting needs of the finder's places: hash, doc_id, open."""
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in finder(found):
+            yield batch.select([0, 1, 4])
+
+    return batches
+
+
 def _owned(docs: DataFrame, finder, label: str) -> DataFrame:
     """The finder's places whose hash an earlier document has too, with that document as owner.
 
-    Places are found twice: once to count hashes, combined per task before the shuffle, and
+    Without a finder, `docs` holds the places. Places are found twice: once to count hashes, combined per task before the shuffle, and
     once to keep those that may be shared. Only these are written and joined by hash; places
     of very common hashes know their owner already and stay out of the join.
     """
-    shared = published(_earlier(docs.mapInArrow(finder, _FOUND)), f"shared-{label}")
-    places = published(docs.mapInArrow(_marked(finder, _known(shared)), f"{_FOUND}, hot_owner long"), f"places-{label}")
+    counted = docs.mapInArrow(_counted(finder), "hash long, doc_id long, open boolean") if finder else docs
+    shared = published(_earlier(counted), f"shared-{label}")
+    places = published(docs.mapInArrow(_marked(finder or iter, _known(shared)), f"{_FOUND}, hot_owner long"), f"places-{label}")
     common = places.where("hot_owner is not null").withColumnRenamed("hot_owner", "owner")
     others = places.where("hot_owner is null").drop("hot_owner").join(shared.select("hash", "owner"), "hash")
     return others.unionByName(common)
@@ -212,15 +221,26 @@ def _whole_windows(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield a, _sequences(part, start, end), begin, np.repeat(np.arange(b - a), windows), whole, first
 
 
+def _leftmost_least(values: np.ndarray, n: int) -> np.ndarray:
+    """For each n values in a row, the place of the least of them, the first of equal ones; it never falls."""
+    place, width = np.arange(len(values)), 1
+    while width < n:
+        step = min(width, n - width)
+        place = np.where(values[step:] < values[:-step], place[step:], place[:-step])
+        values = np.minimum(values[step:], values[:-step])
+        width += step
+    return place
+
+
 def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, row, text, lost lines) -> picked grams; `open` when a window that has lost nothing holds it."""
     for batch in batches:
         ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for a, hashed, begin, text, whole, first in _whole_windows(batch):
             gram = hashed(np.arange(len(whole) - GRAM + 1), GRAM)
-            least = np.lib.stride_tricks.sliding_window_view(gram, PICKS).argmin(axis=1)
-            place, nth = np.unique(begin + least[begin], return_index=True)
-            text = text[nth]
+            picked = _leftmost_least(gram, PICKS)[begin]
+            nth = np.flatnonzero(np.append(True, picked[1:] != picked[:-1]))
+            place, text = picked[nth], text[nth]
             count = np.concatenate([[0], np.cumsum(whole)])
             is_open = count[place + 1] > count[np.maximum(place - PICKS + 1, first[text])]
             yield pa.RecordBatch.from_arrays(
@@ -251,34 +271,51 @@ def recurring_runs(docs: DataFrame, lost: str) -> DataFrame:
     rows = _rows(docs, F.col(lost))
     near = published(_owned(rows, _gram_batches, "grams").groupBy("doc_id", "row").agg(F.collect_set("place").alias("near")), "near-runs")
     windows = published(rows.join(near, ["doc_id", "row"]).select(*rows.columns, "near").mapInArrow(_window_batches, _FOUND), "windows")
-    found = _owned(windows, lambda batches: batches, "windows").where("open and doc_id <> owner")
+    found = _owned(windows, None, "windows").where("open and doc_id <> owner")
     return published(found.groupBy("doc_id", "row").agg(F.collect_set("place").alias("runs")), "recurring-runs")
 
 
-def _rewritten(data: bytes, gone: np.ndarray, runs: np.ndarray) -> tuple[str, int, int]:
-    """The text without the given lines and runs, its number of lines and how many of them lost words."""
-    raw = np.frombuffer(data, np.uint8)
-    start, end, at, _ = lines(raw, np.array([0, len(raw)]))
-    n = len(at) - 1
-    keep = np.ones(n, bool)
-    keep[gone] = False
+def _marks(lists: pa.Array, a: int, b: int, base: np.ndarray) -> np.ndarray:
+    """The numbers that rows a..b hold, each plus its row's base."""
+    lists = lists.slice(a, b - a)
+    return base[pc.list_parent_indices(lists).to_numpy()] + pc.list_flatten(lists).to_numpy()
+
+
+def _rewritten(data: np.ndarray, offsets: np.ndarray, gone: pa.Array, runs: pa.Array, a: int) -> tuple[np.ndarray, ...]:
+    """Texts a.. without their gone lines and runs: bytes, lengths, numbers of lines and of lines that lost words."""
+    b = a + len(offsets) - 1
+    start, end, at, of_text = lines(data, offsets)
+    first = np.searchsorted(start, offsets)
+    keep = np.ones(len(at) - 1, bool)
+    keep[_marks(gone, a, b, of_text)] = False
     keep = np.repeat(keep, np.diff(at))
-    for first in runs:
-        keep[first : first + RUN] = False
-    lost = int(np.logical_or.reduceat(~keep, at[:-1]).sum()) if n else 0
+    cut = _marks(runs, a, b, first)
+    keep[kernel.ragged(cut, np.full(len(cut), RUN))] = False
+    lost = np.logical_or.reduceat(~keep, at[:-1]) if len(keep) else np.zeros(0, bool)
+    # A text that loses words loses its bytes from the end of the last kept word before
+    # them to the next kept word, but for one that becomes the newline or space between.
+    drop = np.zeros(len(data) + 1, np.int64)
+    words = np.repeat(np.arange(b - a), np.diff(first))
+    gap = np.flatnonzero(~keep & np.append(True, keep[:-1] | (words[1:] != words[:-1])))
+    if not len(gap):
+        return data, np.diff(offsets), np.diff(of_text), np.zeros(b - a, np.int64)
     kept = np.flatnonzero(keep)
-    if not len(kept):
-        return "", n, lost
-    out = [data[: start[0]]] if kept[0] == 0 else []
-    breaks = np.flatnonzero(np.diff(kept) > 1)
-    begins, ends = kept[np.append(0, breaks + 1)], kept[np.append(breaks, len(kept) - 1)]
-    for i, (first, last) in enumerate(zip(begins, ends)):
-        if i:
-            out.append(b"\n" if b"\n" in data[end[ends[i - 1]] : start[first]] else b" ")
-        out.append(data[start[first] : end[last]])
-    if kept[-1] == len(keep) - 1:
-        out.append(data[end[-1] :])
-    return b"".join(out).decode(), n, lost
+    text, next_kept = words[gap], np.append(kept, len(keep))[np.searchsorted(kept, gap)]
+    leads, trails = gap == first[text], next_kept >= first[text + 1]
+    begin = np.where(leads, offsets[text], end[np.maximum(gap, 1) - 1])
+    until = np.where(trails, offsets[text + 1], start[np.minimum(next_kept, len(start) - 1)])
+    np.add.at(drop, begin, 1)
+    np.add.at(drop, until, -1)
+    gone_bytes = np.cumsum(drop[:-1]) > 0
+    inner = np.flatnonzero(~leads & ~trails)
+    newlines = np.flatnonzero(data == 10)
+    broken = np.searchsorted(newlines, begin[inner]) < np.searchsorted(newlines, until[inner])
+    data = data.copy()
+    data[begin[inner]] = np.where(broken, 10, 32)
+    gone_bytes[begin[inner]] = False
+    left = np.diff(np.concatenate([[0], np.cumsum(~gone_bytes)])[offsets])
+    lost = np.concatenate([[0], np.cumsum(lost)])
+    return data[~gone_bytes], left, np.diff(of_text), lost[of_text[1:]] - lost[of_text[:-1]]
 
 
 def _rewrite(schema: T.StructType, text_at: int):
@@ -289,17 +326,12 @@ def _rewrite(schema: T.StructType, text_at: int):
             columns = list(batch.columns[:-2])
             texts, gone, runs = batch.column(text_at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             data, offsets = kernel.text_bytes(texts)
-            count, lost = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for a, b in kernel.groups(offsets):
-                of_text = lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[3]
-                count[a:b] = np.diff(of_text)
-            changed = np.flatnonzero(pc.or_(gone.is_valid(), runs.is_valid()).to_numpy(zero_copy_only=False))
-            if len(changed):
-                new = texts.to_pylist()
-                for i in changed:
-                    drop, cut = (np.array(x[int(i)].as_py() or [], np.int64) for x in (gone, runs))
-                    new[i], count[i], lost[i] = _rewritten(data[offsets[i] : offsets[i + 1]].tobytes(), drop, cut)
-                columns[text_at] = pa.array(new, texts.type)
+            parts = [_rewritten(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], gone, runs, a) for a, b in kernel.groups(offsets)]
+            out, size, count, lost = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, t) for t in (np.uint8, np.int64, np.int64, np.int64))
+            ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            valid = pa.array(texts.is_valid()).buffers()[1] if texts.null_count else None
+            new = pa.Array.from_buffers(pa.large_string(), len(texts), [valid, pa.py_buffer(ends), pa.py_buffer(out)])
+            columns[text_at] = new.cast(texts.type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(lost)], names=names)
 
     return batches

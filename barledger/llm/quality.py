@@ -57,7 +57,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     upper, lower = (data >= 65) & (data <= 90), (data >= 97) & (data <= 122)
     digit = (data >= 48) & (data <= 57)
     mark = (data > 32) & (data < 127) & ~upper & ~lower & ~digit
-    solid = np.maximum(per_text(~kernel.SPACE[data], offsets), 1)
+    solid = np.maximum(per_text(kernel.solid(data), offsets), 1)
     cased = np.maximum(per_text(upper | lower, offsets), 1)
     word = kernel.span_hash(kernel.prefix_sums(data), start, end) if len(start) else np.zeros(0, np.uint64)
     again = np.zeros(len(start), bool)

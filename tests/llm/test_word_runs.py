@@ -1,6 +1,11 @@
 """Passages that line ends do not cut out: in mid-sentence, and made of short lines."""
 
 import random
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import types as T
 
 from barledger.llm import line_templates
 from test_text_operators import DOCS
@@ -50,3 +55,52 @@ def test_very_common_hashes_stay_out_of_the_join(spark, monkeypatch):
     split = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, DOCS)).collect()}
     assert split == plain
     assert sum(hot in t for t in split.values()) == 1 and sum(warm in t for t in split.values()) == 1
+
+
+def brute_rewrite(text, gone, runs):
+    """Words with their bytes, word by word; between kept words a newline if one stood in what went, else a space."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    line, lines = 0, []
+    for k, (start, _) in enumerate(words):
+        if k and ("\n" in text[words[k - 1][1] : start] or text[words[k - 1][1] - 1] in ".!?"):
+            line += 1
+        lines.append(line)
+    away = [lines[k] in gone or any(r <= k < r + line_templates.RUN for r in runs) for k in range(len(words))]
+    if not any(away):
+        return text, len(set(lines)), 0
+    kept = [k for k in range(len(words)) if not away[k]]
+    out = text[: words[0][0]] if kept and kept[0] == 0 else ""
+    for before, k in zip([None, *kept], kept):
+        between = text[words[before][1] : words[k][0]] if before is not None else ""
+        out += ("\n" if "\n" in between else " ") * (before is not None) if before != k - 1 else between * (before is not None)
+        out += text[words[k][0] : words[k][1]]
+    out += text[words[-1][1] :] if kept and kept[-1] == len(words) - 1 else ""
+    return out, len(set(lines)), len({lines[k] for k in range(len(words)) if away[k]})
+
+
+def test_rewritten_texts_equal_a_walk_over_words():
+    rng, texts, gone, runs = random.Random(20), [], [], []
+    for _ in range(400):
+        n = rng.choice([0, 1, 3, 20, 70, 200])
+        pieces = [rng.choice(["a", "bé.", "c!", "Ωd", "7"]) + rng.choice([" ", "  ", "\n", " \n", "\t"]) for _ in range(n)]
+        texts.append(rng.choice([None, "", " \n "]) if not n else rng.choice(["", " ", "\n"]) + "".join(pieces).rstrip(rng.choice(["", " \n\t"])))
+        _, n_lines, _ = brute_rewrite(texts[-1] or "", set(), [])
+        gone.append(rng.choice([None, list(range(n_lines)), [k for k in range(n_lines) if rng.random() < 0.3]]))
+        runs.append([rng.randrange(n - 50)] if n > 50 and rng.random() < 0.5 else None)
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    places = pa.list_(pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(gone, places), pa.array(runs, places)], names=["text", "gone", "runs"])
+    for part in (batch, batch.slice(7)):
+        got = next(line_templates._rewrite(schema, 0)(iter([part]))).to_pylist()
+        assert len(got) == part.num_rows
+        for row, text, lost, cut in zip(got, *(c.to_pylist() for c in part.columns)):
+            new, n_lines, n_dropped = brute_rewrite(text or "", set(lost or ()), cut or ())
+            assert tuple(row.values()) == (None if text is None else new, n_lines, n_dropped)
+
+
+def test_leftmost_least_equals_a_walk():
+    rng = np.random.default_rng(21)
+    for n, width in ((1, 1), (36, 36), (500, 36), (300, 5)):
+        values = rng.integers(0, 40, n).astype(np.uint64)
+        want = [k + min(range(width), key=lambda j: (values[k + j], j)) for k in range(n - width + 1)]
+        assert line_templates._leftmost_least(values, width).tolist() == want
