@@ -15,7 +15,7 @@ from barledger.functions import clock, predicates
 from barledger.functions.digest import bar_hash
 from barledger.operators import (
     asof, attribution, campaign, candles, dedupe, evidence, exposure, gates, intervals, journal, ledger,
-    ordered, provenance, quality, reconcile,
+    ordered, provenance, quality, reconcile, refresh,
 )
 from barledger.plans import evaluation, testbed as tb
 from barledger.checks import fail_closed
@@ -353,6 +353,26 @@ def monitor_scope(spark, sf):
     return gates.monitor_scope(tb.bars_15m(spark, sf), F.expr(CUTOFF))
 
 
+@query
+def monitor_refresh(spark, sf):
+    """A table landed before its last days were known, refreshed by overlap, against a rebuild from all ticks."""
+    path = os.path.join(checkpoint_root(spark), f"monitor-bars-{uuid.uuid4().hex}")
+    ticks, end = tb.ticks(spark, sf), F.expr(CUTOFF)
+    landed_at, late_from = end - F.expr("interval 71 hours"), end - F.expr("interval 6 days")
+    in_time = (F.col("ts") < late_from) | (F.col("seq") % 7 != 0)
+    sinks.write_days(refresh.bars_by_day(ticks.where(in_time), K, 900, landed_at), path)
+    schema = refresh.bars_by_day(ticks, K, 900, end).schema
+    stored = spark.read.schema(schema).parquet(path)
+    before = materialise(refresh.day_digests(stored, K), "refresh-before")
+    first = refresh.first_refreshed_day(end)
+    sinks.write_days(refresh.bars_by_day(ticks, K, 900, end, first), path)
+    after = refresh.day_digests(spark.read.schema(schema).parquet(path), K)
+    rebuilt = refresh.day_digests(refresh.bars_by_day(ticks, K, 900, end), K)
+    landed = before.select(F.col("symbol"), F.col("day"), F.col("digest").alias("landed"))
+    changed = after.join(landed, ["symbol", "day"], "left").select("symbol", "day", (~F.col("digest").eqNullSafe(F.col("landed"))).alias("changed"))
+    return refresh.audit_refresh(after, rebuilt, K, first).join(changed, ["symbol", "day"], "left")
+
+
 @query
 def checksum_audit(spark, sf):
     return provenance.compare_files(*tb.day_files(spark, sf), K)

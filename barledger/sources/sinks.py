@@ -29,6 +29,16 @@ def write_bars(bars: DataFrame, path: str, keys: Sequence[str] = ("venue", "symb
         raise IntegrityError(f"unsupported format: {fmt}")
 
 
+def write_days(bars: DataFrame, path: str) -> None:
+    """Bars by their ``day``; of a table that is there, only the days that come are replaced.
+
+    A day of many series is written by as many tasks as its size asks for. Spark stages the
+    files and swaps the partitions at commit, so a failed run can simply be repeated.
+    """
+    laid = bars.hint("rebalance", "day").sortWithinPartitions("day")
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write
     if fmt == "csv":

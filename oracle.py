@@ -505,6 +505,10 @@ ORACLE: dict[str, str] = {
     "readiness": with_(READY) + "SELECT dataset, reason, split_part(reason, '_', 1) AS readiness, true AS performance_embargo_active FROM verdict",
     "monitor_scope": with_(TICKS, B15) + f"""SELECT {BAR_COLS}, 'MONITOR_BOUNDED_OVERLAP_NOT_COMPLETE_FORWARD_POOL' AS data_scope FROM b15
       WHERE availability_time > {CUTOFF} - INTERVAL 8 DAY AND availability_time <= {CUTOFF}""",
+    "monitor_refresh": with_(TICKS) + f"""SELECT symbol, day, count(DISTINCT slot) AS bars_stored, count(DISTINCT slot) AS bars_rebuilt, true AS matches,
+      CASE WHEN day >= ({CUTOFF} - INTERVAL 8 DAY)::DATE THEN 'REFRESHED' ELSE 'KEPT' END AS scope, bool_or(late OR slot > {CUTOFF} - INTERVAL 71 HOUR) AS changed
+      FROM (SELECT symbol, time_bucket(INTERVAL 900 SECOND, ts, {EPOCH0}) + INTERVAL 900 SECOND AS slot, slot::DATE AS day,
+        seq % 7 = 0 AND ts >= {CUTOFF} - INTERVAL 6 DAY AS late FROM ticks WHERE ts < {CUTOFF}) WHERE slot <= {CUTOFF} GROUP BY symbol, day""",
     "checksum_audit": with_(TICKS, DAY_FILES) + "SELECT * FROM compared",
     "campaign_states_a": with_(*fold_of("tick")) + "SELECT symbol, ts, seq, event_type, " + ", ".join(f"a_{f} AS {f}" for f in _FIELDS) + " FROM st WHERE rn > 0",
     "campaign_states_b": with_(*fold_of("tick")) + "SELECT symbol, ts, seq, event_type, " + ", ".join(f"b_{f} AS {f}" for f in _FIELDS) + " FROM st WHERE rn > 0",

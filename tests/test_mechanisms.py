@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barledger.checks import IntegrityError
-from barledger.operators import intervals, provenance, selection
-from barledger.sources import files
+from barledger.operators import intervals, provenance, refresh, selection
+from barledger.sources import files, sinks
 
 START = datetime(2024, 1, 1)
 
@@ -94,3 +94,49 @@ def test_files_are_digested_block_by_block(spark, tmp_path, monkeypatch):
         assert got == {n: (hashlib.sha256(b).hexdigest(), len(b)) for n, b in bodies.items()}
     assert files.scan_files(spark, str(tmp_path / "in"), "*.txt").count() == 1
     assert files.packed([("a", 5), ("b", 6), ("c", 50), ("d", 1), ("e", 9)], 10) == [["a"], ["b"], ["c"], ["d", "e"]]
+
+
+def day_ticks(spark, rows):
+    return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, seq long, price double, qty double")
+
+
+def test_a_refresh_replaces_its_days_and_reports_what_it_cannot_reach(spark, tmp_path):
+    rng = random.Random(23)
+    path, keys = str(tmp_path / "bars"), ["symbol"]
+    end = F.lit(START + timedelta(days=20)).cast("timestamp_ntz")
+    ticks = [(s, START + timedelta(minutes=7 * k), k, 10 + rng.random(), rng.random()) for s in "AB" for k in range(4300) if s == "A" or k % 5]
+    known = [t for t in ticks if t[2] % 3 or t[1] < START + timedelta(days=13)]
+    first = refresh.first_refreshed_day(end)
+
+    def rebuilt(rows, at=end):
+        return refresh.day_digests(refresh.bars_by_day(day_ticks(spark, rows), keys, 900, at), keys)
+
+    def stored():
+        return refresh.day_digests(spark.read.parquet(path), keys)
+
+    sinks.write_days(refresh.bars_by_day(day_ticks(spark, known), keys, 900, end - F.expr("interval 30 hours")), path)
+    stale = refresh.audit_refresh(stored(), rebuilt(ticks), keys, first).collect()
+    assert {r.day.day for r in stale if not r.matches} == set(range(14, 22))
+    sinks.write_days(refresh.bars_by_day(day_ticks(spark, ticks), keys, 900, end, first), path)
+    fresh = refresh.audit_refresh(stored(), rebuilt(ticks), keys, first).collect()
+    assert all(r.matches and r.bars_stored == r.bars_rebuilt for r in fresh)
+    assert {(r.day.day, r.scope) for r in fresh} == {(d, "REFRESHED" if d >= 13 else "KEPT") for d in range(1, 22)}
+    # A change before the overlap and a day whose ticks are withdrawn are reported, and nothing else.
+    other = [(s, t, q, p + (s == "A" and t.day == 4), n) for s, t, q, p, n in ticks if (s, t.day) != ("B", 17)]
+    sinks.write_days(refresh.bars_by_day(day_ticks(spark, other), keys, 900, end, first), path)
+    wrong = {(r.symbol, r.day.day) for r in refresh.audit_refresh(stored(), rebuilt(other), keys, first).collect() if not r.matches}
+    assert wrong == {("A", 4), ("A", 5)}
+    only = [t for t in ticks if t[1] < START + timedelta(days=18)]
+    sinks.write_days(refresh.bars_by_day(day_ticks(spark, only), keys, 900, end, first), path)
+    gone = [r for r in refresh.audit_refresh(stored(), rebuilt(only), keys, first).collect() if not r.matches and r.day.day > 5]
+    assert {(r.symbol, r.day.day, r.bars_rebuilt) for r in gone} == {(s, d, 0) for s in "AB" for d in (20, 21)}
+
+
+def test_an_empty_table_is_refreshed_and_odd_bar_widths_are_refused(spark, tmp_path):
+    end, none = F.lit(START).cast("timestamp_ntz"), day_ticks(spark, [])
+    bars = refresh.bars_by_day(none, ["symbol"], 900, end, refresh.first_refreshed_day(end))
+    sinks.write_days(bars, str(tmp_path / "none"))
+    found = refresh.day_digests(bars, ["symbol"])
+    assert refresh.audit_refresh(found, found, ["symbol"], refresh.first_refreshed_day(end)).count() == 0
+    with pytest.raises(IntegrityError):
+        refresh.bars_by_day(none, ["symbol"], 7000, end)
