@@ -123,15 +123,18 @@ def divergence_segments(
 ) -> DataFrame:
     """From the first differing bar through the bar where A and B meet again.
 
-    All costs come out of one aggregation: the grid widens the row, not the shuffle.
+    All costs come out of one aggregation: the grid widens the row, not the shuffle. A bar
+    where they differ in another way than A short, B flat stops the job.
     """
+    legal = (F.col("a_held") == F.col("b_held")) | ((F.col("a_held") == -1) & (F.col("b_held") == 0))
+    refused = F.raise_error(F.concat(F.lit("illegal divergence at "), F.col("open_time").cast("string")))
     sums = []
     for i, bps in enumerate(costs):
         for side in "ab":
             sums.append(F.sum(log_return(net_of_cost(side, float(bps)))).alias(f"_{side}{i}"))
     at_start = F.when(F.col("segment_start") == 1, F.col("bear_epoch_id"))
     grouped = (
-        numbered.filter("in_segment")
+        numbered.filter(F.col("in_segment") & F.when(F.coalesce(legal, F.lit(False)), True).otherwise(refused))
         .groupBy(*keys, F.col("segment_no").alias("segment_id"))
         .agg(
             F.max(at_start).alias("bear_epoch_id"),

@@ -509,6 +509,18 @@ def executed_invariants(spark, sf):
     return evidence.executed_invariants(both.filter("candidate = 'A'"), both.filter("candidate = 'B'"), K)
 
 
+@query
+def executed_apart(spark, sf):
+    """The same checks on ledgers that two venues computed apart, each with bars the other lacks."""
+    line, bars = _day_timeline(spark, sf), tb.bars_1d(spark, sf)
+    day = F.dayofmonth("open_time")
+    a, b = (
+        ledger.by_candidate(evaluation.published_rows(bars.where(day != lacking), line, K), K, (7.0,)).filter(F.col("candidate") == side)
+        for side, lacking in (("A", 27), ("B", 13))
+    )
+    return evidence.executed_invariants(a, b, K)
+
+
 @query
 def segments_exec(spark, sf):
     return _day_segments(spark, sf)

@@ -544,6 +544,13 @@ ORACLE: dict[str, str] = {
         ("execution_clock_identical", "false"), ("executed_major_direction_identical", "false"),
         ("executed_long_occupancy_identical", "(a_held = 1) <> (b_held = 1)"), ("candidate_b_never_extra_executed_short", "b_held = -1 AND a_held <> -1"),
         ("only_A_short_B_flat_executed_divergence", "a_held <> b_held AND NOT (a_held = -1 AND b_held = 0)")]),
+    "executed_apart": with_(*DAY_X, *(f"""tape_{s} AS (SELECT * FROM known WHERE day(open_time) <> {d}),
+      apart_{s} AS (WITH {execs().replace("FROM known", f"FROM tape_{s}")} SELECT symbol, open_time, a_held, b_held, dir FROM x)""" for s, d in (("a", 27), ("b", 13))),
+      """both_sides AS (SELECT symbol, open_time, a.a_held, b.b_held, a.dir AS a_dir, b.dir AS b_dir
+      FROM apart_a a FULL JOIN apart_b b USING (symbol, open_time))""") + _checks("both_sides", [
+        ("execution_clock_identical", "a_held IS NULL OR b_held IS NULL"), ("executed_major_direction_identical", "a_dir <> b_dir"),
+        ("executed_long_occupancy_identical", "(a_held = 1) <> (b_held = 1)"), ("candidate_b_never_extra_executed_short", "b_held = -1 AND a_held <> -1"),
+        ("only_A_short_B_flat_executed_divergence", "a_held <> b_held AND NOT (a_held = -1 AND b_held = 0)")]),
     "segments_exec": with_(*DAY_X, execs(), seg()) + f"SELECT {SEG_COLS} FROM seg",
     "bear_epochs": with_(*DAY_X, execs()) + """SELECT symbol, bear_epoch_id::BIGINT AS bear_epoch_id, min(open_time) AS first_open, max(open_time) AS last_open, count(*) AS bars
       FROM x WHERE bear_epoch_id IS NOT NULL GROUP BY ALL""",

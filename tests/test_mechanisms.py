@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barledger.checks import IntegrityError
-from barledger.operators import intervals, provenance, refresh, selection
+from barledger.operators import evidence, intervals, provenance, refresh, selection
 from barledger.sources import files, sinks
 
 START = datetime(2024, 1, 1)
@@ -140,3 +140,19 @@ def test_an_empty_table_is_refreshed_and_odd_bar_widths_are_refused(spark, tmp_p
     assert refresh.audit_refresh(found, found, ["symbol"], refresh.first_refreshed_day(end)).count() == 0
     with pytest.raises(IntegrityError):
         refresh.bars_by_day(none, ["symbol"], 7000, end)
+
+
+def held_rows(spark, pairs):
+    rows = [("A", START + timedelta(days=k), a, b, a != b, 1, int(k == 0), 1, 0.01, 0.02, 0.0, 1.0) for k, (a, b) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "symbol string, open_time timestamp_ntz, a_held double, b_held double, in_segment boolean, segment_no long, "
+                                       "segment_start int, bear_epoch_id long, a_gross double, b_gross double, a_turnover double, b_turnover double")
+
+
+def test_segments_refuse_any_divergence_but_a_short_b_flat(spark):
+    found = evidence.divergence_segments(held_rows(spark, [(-1.0, 0.0), (-1.0, 0.0), (1.0, 1.0)]), ["symbol"], (7.0,)).collect()
+    assert [(r.segment_id, r.bars) for r in found] == [(1, 2)]
+    for pair in ((0.0, -1.0), (1.0, 0.0), (-1.0, 1.0)):
+        bad = evidence.divergence_segments(held_rows(spark, [(-1.0, 0.0), pair]), ["symbol"], (7.0,))
+        with pytest.raises(Exception, match="illegal divergence"):
+            bad.select("segment_id").collect()
+    assert evidence.divergence_segments(held_rows(spark, [(0.0, 0.0)]), ["symbol"]).count() == 0

@@ -13,7 +13,7 @@ from barledger.plans import testbed as tb
 from barledger.plans.evaluation import evaluate
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["bars_15m", "rollup_1w_compat", "window_summary", "integrity_audit", "gap_rows", "coverage_audit", "monitor_refresh", "ab_trace", "risk_allocation"]
+NAMES = ["bars_15m", "rollup_1w_compat", "window_summary", "integrity_audit", "gap_rows", "coverage_audit", "monitor_refresh", "executed_apart", "segments_exec", "ab_trace", "risk_allocation"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
