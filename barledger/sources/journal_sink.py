@@ -33,6 +33,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from barledger.operators.journal import genesis, next_link
 from barledger.operators.ordered import previous_row
+from barledger.session import ROCKSDB_STORE, ship_package
+from barledger.streaming.drain import STATE_STORE
 
 FORMAT = "barledger-journal"
 SHARDS = 64
@@ -180,7 +182,9 @@ def chain_journal(records: DataFrame, path: str, checkpoint: str) -> StreamingQu
     of its series stops the stream. Restarted from its checkpoint, a stream that was killed
     at any moment leaves each record in the journal once.
     """
-    records.sparkSession.dataSource.register(JournalSink)
+    spark = ship_package(records.sparkSession)
+    spark.conf.set(STATE_STORE, ROCKSDB_STORE)  # as drain does: records may come out of keyed state
+    spark.dataSource.register(JournalSink)
     laid = records.withColumn("shard", shard_of(F.col("series"))).repartition("shard")
     return (
         laid.select(*[c.split()[0] for c in INPUT.split(", ")]).writeStream.format(FORMAT)

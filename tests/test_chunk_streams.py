@@ -229,6 +229,24 @@ def test_late_records_stop_the_journal(spark, tmp_path):
     assert journal_sink.read_journal(spark, str(tmp_path / "journal")).count() == 4
 
 
+def test_the_journal_runs_in_a_session_that_names_no_state_store(spark, tmp_path):
+    from barledger.plans.queries import QUERIES
+    from barledger.streaming.drain import STATE_STORE
+
+    start = pd.Timestamp("2024-01-19 22:00")
+    pd.DataFrame({"event_id": range(200), "ts": [start + pd.Timedelta(minutes=3 * k) for k in range(200)], "user_id": 1,
+                  "event_type": ["view", "click"] * 100, "value": [10.0 + k % 7 for k in range(200)], "props": "{}"}).to_parquet(
+        tmp_path / "events.parquet", coerce_timestamps="us")
+    store = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")  # Spark's default
+    try:
+        found = QUERIES["stream_journal"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(STATE_STORE, store)
+    bars = {(r, (start + pd.Timedelta(minutes=3 * k)).floor("15min")) for k in range(200) for r in (["view", "click"][k % 2],)}
+    assert {(r.symbol, pd.Timestamp(r.timestamp)) for r in found} == bars and len(found) == len(bars)
+
+
 def test_damage_is_found(spark, tmp_path):
     found = feed(spark, tmp_path, journal_rows([1, 2, 3, 11, 12]))
     problems = lambda df: {r.problem for r in journal_sink.verify_chains(df).collect()}
