@@ -21,6 +21,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +32,7 @@ from barledger.checks import IntegrityError
 from barledger.functions.clock import micros
 from barledger.functions.digest import bar_hash
 from barledger.operators.campaign import compile_machine
-from barledger.operators.fold import _compose, _ints, _moves, _starts, decode, event_code
+from barledger.operators.fold import Machine, _compose, _ints, _moves, decode, event_code
 from barledger.operators.ledger import execution_bars
 from barledger.streaming.buffer import _pack, _unpack
 from barledger.streaming.drain import Closing, drain
@@ -243,6 +245,28 @@ def _advance_state(state: list, summary) -> list:
     return [int(summary.map[state[0]])]
 
 
+def _before_each(keys: list[str], machine: Machine):
+    """Chunks (keys, ts, seq, e, start) -> their events, each with the state before it: one look-up an event."""
+    step, names = machine.step, [*keys, "ts", "seq", "_event", "_before"]
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for at in range(batch.num_rows):
+                chunk = batch.slice(at, 1)
+                *_, ts, seq, events, start = chunk.columns
+                codes, state = pc.list_flatten(events), start[0].as_py()
+                before = np.empty(len(codes), np.int32)
+                for i, code in enumerate(codes.to_pylist()):
+                    before[i] = state
+                    if code >= 0:  # unknown events have code -1 and keep every state
+                        state = step[code][state]
+                of = pc.list_parent_indices(events)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(of) for c in chunk.columns[: len(keys)]), pc.list_flatten(ts), pc.list_flatten(seq), codes, pa.array(before)], names=names)
+
+    return batches
+
+
 def settled_states(
     stages: Stages, events: DataFrame, seconds: int, lateness_seconds: int,
     closing: Closing | None = None, ends: Sequence[DataFrame] = (), rule_sets: Sequence[str] = ("A", "B"),
@@ -261,9 +285,8 @@ def settled_states(
     settled = stages.settle(chunks.withColumn("map", _compose(moves, machine.width)), closing, ends)
     starts = stages.carry(
         lambda s: _passed(s.select(*keys, "chunk", "map"), keys, "start int", (0,), _advance_state), settled.schema)
-    replayed = settled.where(F.col("status") == SETTLED).join(starts, [*keys, "chunk"]).select(
-        *keys, F.inline(F.arrays_zip(F.col("ts").alias("ts"), F.col("seq").alias("seq"), F.col("e").alias("_event"),
-                                     _starts(moves, F.col("start")).alias("_before"))))
+    replayed = settled.where(F.col("status") == SETTLED).join(starts, [*keys, "chunk"]).select(*keys, "ts", "seq", "e", "start").mapInArrow(
+        _before_each(keys, machine), f"{_types(settled, keys)}, ts bigint, seq bigint, _event int, _before int")
     after = F.coalesce(F.get(F.get(_moves(machine), F.col("_event")), F.col("_before")), F.col("_before"))
     coded_rows = replayed.withColumns({"ts": F.timestamp_micros("ts"), "_after": after, "_event": F.when(F.col("_event") >= 0, F.col("_event"))})
     late = late_of(settled, keys).drop("map")

@@ -2,6 +2,7 @@
 
 import os
 import shutil
+import time
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,24 @@ def test_late_events_are_published_and_the_others_keep_their_states(spark, tmp_p
     assert trace.select(STATES).orderBy("seq").collect() == want.select(STATES).orderBy("seq").collect()
 
 
+def test_a_chunk_of_many_events_is_replayed_in_time_that_grows_with_their_number(spark, tmp_path):
+    n = 200_000
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"key": rng.choice(["a", "b"], n, p=[0.99, 0.01]), "ts": START + pd.to_timedelta(rng.integers(0, 3600, n), unit="s"),
+                        "seq": rng.permutation(n), "event_type": rng.choice([*EVENT_TYPES, "UNHEARD_OF"], n)})
+    folder = str(tmp_path / "in")
+    schema = land(spark, pdf, folder)
+    closing = Closing(spark, "ts timestamp", "t")
+    trace, late = settled_states(Stages(spark, str(tmp_path / "s"), ["key"]), follow(spark, schema, folder), 3600, 0, closing,
+                                 [beats_after(spark.read.schema(schema).parquet(folder), "ts", 3600, 0)])
+    none_late(late, "t")
+    began = time.monotonic()
+    got = trace.select(STATES).toPandas().sort_values("seq", ignore_index=True)
+    assert time.monotonic() - began < 30  # an array copied for every event takes minutes
+    want = campaign.ab_trace(spark.read.schema(schema).parquet(folder), ["key"], seconds=60).select(STATES).toPandas()
+    pd.testing.assert_frame_equal(got, want.sort_values("seq", ignore_index=True))
+
+
 def bars(n=40):
     rng = np.random.default_rng(9)
     return pd.DataFrame({"s": np.where(np.arange(n) % 3 == 0, "x", "y"), "timestamp": START + pd.to_timedelta(np.arange(n) * 17, unit="m"),
