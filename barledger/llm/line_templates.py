@@ -123,18 +123,44 @@ def _earlier(found: DataFrame) -> DataFrame:
     )
 
 
-def _marked(finder, known):
-    """Places whose hash may be known, with the owner of those that very many places share."""
+_PLACES = "hash long, doc_id long, row long, place int, places array<int>"
+
+
+def _marked(finder, known, lost: bool):
+    """Places whose hash may be known: one row each, or, where very many places share it, one row for a text's.
+
+    With `lost`, only open places, and none of the first document that has them: that
+    document is known for very common hashes, and found by the join for others.
+    """
+    names = [c.split()[0] for c in _PLACES.split(", ")]
+
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hot, owner = known.value
         for batch in finder(found):
             key = batch.column(0).to_numpy()
             bit = key.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            yes = np.flatnonzero(words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+            may = (words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+            if lost:
+                may &= batch.column(4).to_numpy(zero_copy_only=False)
+            yes = np.flatnonzero(may)
             at = np.minimum(np.searchsorted(hot, key[yes]), len(hot) - 1)
-            cold = hot[at] != key[yes] if len(hot) else np.ones(len(yes), bool)
-            owners = pa.array(owner[at], pa.int64(), mask=cold) if len(hot) else pa.nulls(len(yes), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(yes)) for c in batch.columns), owners], names=[*_NAMES, "hot_owner"])
+            common = hot[at] == key[yes] if len(hot) else np.zeros(len(yes), bool)
+            rest = pa.array(yes[~common])
+            yield pa.RecordBatch.from_arrays([*(c.take(rest) for c in batch.columns[:4]), pa.nulls(len(rest), pa.list_(pa.int32()))], names=names)
+            ids, rows, place = (batch.column(k).to_numpy()[yes[common]] for k in (1, 2, 3))
+            if lost and len(hot):
+                theirs = ids != owner[at[common]]
+                ids, rows, place = ids[theirs], rows[theirs], place[theirs]
+            if not len(ids):
+                continue
+            order = np.lexsort((place, rows, ids))
+            ids, rows, place = ids[order], rows[order], place[order]
+            text = np.append(True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]))
+            first = text | np.append(True, place[1:] != place[:-1])
+            ids, rows, place, text = ids[first], rows[first], place[first], np.flatnonzero(text[first])
+            places = pa.ListArray.from_arrays(pa.array(np.append(text, len(place)).astype(np.int32)), pa.array(place))
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(text), pa.int64()), pa.array(ids[text]), pa.array(rows[text]), pa.nulls(len(text), pa.int32()), places], names=names)
 
     return batches
 
@@ -164,19 +190,22 @@ def _counted(finder):
     return batches
 
 
-def _owned(docs: DataFrame, finder, label: str) -> DataFrame:
-    """The finder's places whose hash an earlier document has too, with that document as owner.
+def _shared_places(docs: DataFrame, finder, label: str, name: str, lost: bool) -> DataFrame:
+    """(doc_id, row, name): the finder's places whose hash an earlier document has too; with `lost`, those that go for it.
 
     Without a finder, `docs` holds the places. Places are found twice: once to count hashes, combined per task before the shuffle, and
     once to keep those that may be shared. Only these are written and joined by hash; places
-    of very common hashes know their owner already and stay out of the join.
+    of very common hashes know their owner already, stay out of the join and are written as one list for each text.
     """
     counted = docs.mapInArrow(_counted(finder), "hash long, doc_id long, open boolean") if finder else docs
     shared = published(_earlier(counted), f"shared-{label}")
-    places = published(docs.mapInArrow(_marked(finder or iter, _known(shared)), f"{_FOUND}, hot_owner long"), f"places-{label}")
-    common = places.where("hot_owner is not null").withColumnRenamed("hot_owner", "owner")
-    others = places.where("hot_owner is null").drop("hot_owner").join(shared.select("hash", "owner"), "hash")
-    return others.unionByName(common)
+    places = published(docs.mapInArrow(_marked(finder or iter, _known(shared), lost), _PLACES), f"places-{label}")
+    others = places.where("places is null").join(shared.select("hash", "owner"), "hash")
+    if lost:
+        others = others.where("doc_id <> owner")
+    held = ["doc_id", "row", "place", "places"]
+    return others.select(held).unionByName(places.where("places is not null").select(held)).groupBy("doc_id", "row").agg(
+        F.array_union(F.collect_set("place"), F.flatten(F.collect_set("places"))).alias(name))
 
 
 def _rows(docs: DataFrame, *columns) -> DataFrame:
@@ -187,8 +216,7 @@ def _rows(docs: DataFrame, *columns) -> DataFrame:
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, row, lines): the numbers of the lines each row loses."""
-    lost = _owned(_rows(docs), _path_batches, "lines").where("doc_id <> owner")
-    return published(lost.groupBy("doc_id", "row").agg(F.collect_set("place").alias("lines")), "recurring-lines")
+    return published(_shared_places(_rows(docs), _path_batches, "lines", "lines", lost=True), "recurring-lines")
 
 
 def _sequences(data: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -269,10 +297,9 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def recurring_runs(docs: DataFrame, lost: str) -> DataFrame:
     """docs(doc_id, text, lines lost) -> (doc_id, row, runs): first words of the windows each row loses as well."""
     rows = _rows(docs, F.col(lost))
-    near = published(_owned(rows, _gram_batches, "grams").groupBy("doc_id", "row").agg(F.collect_set("place").alias("near")), "near-runs")
+    near = published(_shared_places(rows, _gram_batches, "grams", "near", lost=False), "near-runs")
     windows = published(rows.join(near, ["doc_id", "row"]).select(*rows.columns, "near").mapInArrow(_window_batches, _FOUND), "windows")
-    found = _owned(windows, None, "windows").where("open and doc_id <> owner")
-    return published(found.groupBy("doc_id", "row").agg(F.collect_set("place").alias("runs")), "recurring-runs")
+    return published(_shared_places(windows, None, "windows", "runs", lost=True), "recurring-runs")
 
 
 def _marks(lists: pa.Array, a: int, b: int, base: np.ndarray) -> np.ndarray:

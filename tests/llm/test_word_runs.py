@@ -57,6 +57,25 @@ def test_very_common_hashes_stay_out_of_the_join(spark, monkeypatch):
     assert sum(hot in t for t in split.values()) == 1 and sum(warm in t for t in split.values()) == 1
 
 
+def test_places_of_very_common_hashes_are_one_row_for_each_text(spark, monkeypatch):
+    rng = random.Random(20)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(n))
+    run = words(300)
+    rows = [(i, f"{words(8)} {run} {words(8)}") for i in range(40)]
+    written, keep = {}, line_templates.published
+
+    def published(df, label):
+        written[label] = keep(df, label)
+        return written[label]
+
+    monkeypatch.setattr(line_templates, "published", published)
+    monkeypatch.setattr(line_templates, "HOT_LEAST", 20)
+    monkeypatch.setattr(line_templates, "HOT_SHARE", 10_000)
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, DOCS).repartition(2)).collect()}
+    assert got == {i: text if i == 0 else text.replace(f" {run}", "") for i, text in rows}
+    assert written["places-grams"].count() == 40 and written["places-windows"].count() == 39
+
+
 def brute_rewrite(text, gone, runs):
     """Words with their bytes, word by word; between kept words a newline if one stood in what went, else a space."""
     words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
