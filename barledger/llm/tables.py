@@ -29,6 +29,15 @@ def published(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def concluded(df: DataFrame, label: str) -> DataFrame:
+    """Publish a result; within a stage, what the stage has published before is deleted: only the result may be read on."""
+    result = published(df, label)
+    if _open is not None:
+        discard(df.sparkSession, _open[:-1])
+        del _open[:-1]
+    return result
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete published tables that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
