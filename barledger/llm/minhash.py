@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barledger.llm import kernel
 from barledger.llm.components import connected_components
@@ -84,12 +84,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, sig binary"
+_SIGNATURES = "doc_id long, row long, n_shingles long, set_a long, set_b long, sig binary"
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = kernel.text_bytes(batch.column(1))
+        data, offsets = kernel.text_bytes(batch.column(2))
         n = batch.num_rows
         size, set_a, set_b = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         sig = np.zeros((n, HASHES), np.uint32)
@@ -105,15 +105,21 @@ def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             for j in range(HASHES):
                 sig[a + has, j] = np.minimum.reduceat((value * _MUL[j] + _ADD[j]) >> np.uint64(32), at)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size), pa.array(_signed(set_a)), pa.array(_signed(set_b)),
+            [batch.column(0), batch.column(1), pa.array(size), pa.array(_signed(set_a)), pa.array(_signed(set_b)),
              pa.array([row.tobytes() for row in sig], pa.binary())],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "sig"],
+            names=["doc_id", "row", "n_shingles", "set_a", "set_b", "sig"],
         )
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, a number that tells rows of one doc_id apart by their text, text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, set key (set_a, set_b), MinHash signature."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signature_batches, _SIGNATURES)
+    """docs(doc_id, text) -> doc_id, row, n_shingles, set key (set_a, set_b), MinHash signature."""
+    return _rows(docs).mapInArrow(_signature_batches, _SIGNATURES)
 
 
 def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +254,17 @@ def prefix_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def _called(classes: DataFrame) -> DataFrame:
+    """classes(doc_id, set_a, set_b, ...) with `rep`, a number of each class's own.
+
+    That is its smallest document's id, unless the same document, by rows of other texts,
+    is the smallest of several classes: then a 64-bit hash.
+    """
+    several = published(classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("several")), "several")
+    rep = F.when(F.col("several"), F.xxhash64("doc_id", "set_a", "set_b")).otherwise(F.col("doc_id"))
+    return classes.join(several, "doc_id", "left").withColumn("rep", rep).drop("several")
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components so far."""
     for end in ("a", "b"):
@@ -257,20 +274,22 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, one row per input row.
+    """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, row, one row per input row.
 
     Texts are linked when 100 * |A and B| >= 75 * |A or B| on sets of distinct five-word
     shingles. A null or empty text, or one without words, has no shingles and is linked
     with nothing. A null doc_id is linked with nothing and its component_id is null, kept
-    is true. doc_id is the key: repeated rows of an id must carry the same text; each comes
-    back with the same answer. Other columns are ignored; an empty table gives no rows.
+    is true. Rows that repeat an id are compared each by its own text, and `row`, the
+    text's hash, tells them apart; those with the same text come back with the same answer.
+    Other columns are ignored; an empty table gives no rows.
     """
     sigs = published(signatures(docs), "signatures")
-    reps = published(
+    reps = _called(published(
         sigs.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")),
+        .agg(F.min(F.struct("doc_id", "row")).alias("least"), F.first("sig").alias("sig"))
+        .select("set_a", "set_b", "least.doc_id", "least.row", "sig"),
         "classes",
-    )
+    ))
     bands = reps.select("rep", "sig").mapInArrow(_band_batches, "key long, rep long")
     shared = bands.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     buckets = published(bands.join(shared.select("key", "pivot"), "key"), "buckets")
@@ -278,12 +297,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = buckets.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     stars = published(plausible(star, reps), "stars")
     # Documents in a shared bucket are all that can need their texts again.
-    named = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    named = reps.select("rep", "doc_id", "row").join(buckets.select("rep").distinct(), "rep", "left_semi")
     texts = published(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(named, "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"),
-        "texts",
-    )
+        _rows(docs).join(named, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("rep", "text"), "texts")
     # First the most alike pivot of each class, then what still lies apart.
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b"))
     links = published(verified(best, texts), "links")
@@ -307,18 +323,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = verified(published(plausible(crossing.join(star, ["a", "b"], "left_anti"), reps), "crossing"), texts)
     comps = connected_components(links.unionByName(more))
 
-    classes = reps.select("set_a", "set_b", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_a", "set_b", F.coalesce("component", "rep").alias("component"))
+    # A component is named by its smallest document, whatever its classes are called.
+    renamed = reps.where("rep <> doc_id").select(F.col("rep").alias("node"), "doc_id")
+    least = comps.join(renamed, "node", "left").groupBy("component").agg(F.min(F.coalesce("doc_id", "node")).alias("least"))
+    comps = comps.join(least, "component").select(F.col("node").alias("rep"), "least")
+    classes = reps.select("set_a", "set_b", "rep", "doc_id").join(comps, "rep", "left").select(
+        "set_a", "set_b", F.coalesce("least", "doc_id").alias("component"))
     linked = F.col("n_shingles") > 0
     component = F.when(linked & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return (
-        sigs.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        sigs.select("doc_id", "row", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
+        .select("doc_id", "row", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .select("doc_id", "n_shingles", "component_id", "kept", "row")
     )
 
 
+def gone_rows(found: DataFrame) -> DataFrame:
+    """near_duplicates' answer -> gone_id of all that aren't kept, and gone_row, the hash of the text, where the id has several.
+
+    A null gone_row stands for every row of the id: few ids have several texts, and the list stays short.
+    """
+    several = found.groupBy("doc_id").agg((F.min("row") < F.max("row")).alias("several")).where("several")
+    gone = found.where("not kept").join(several, "doc_id", "left")
+    return gone.select(F.col("doc_id").alias("gone_id"), F.when(F.col("several"), F.col("row")).alias("gone_row")).distinct()
+
+
+def same_row(docs: DataFrame, gone: DataFrame) -> Column:
+    """Whether a row of docs is one that gone_id and gone_row name."""
+    same_text = gone["gone_row"].isNull() | (F.xxhash64(docs["text"].cast("string")) == gone["gone_row"])
+    return (docs["doc_id"] == gone["gone_id"]) & same_text
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that near-duplicate a document with a smaller id."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = gone_rows(near_duplicates(docs))
+    return docs.join(gone, same_row(docs, gone), "left_anti")

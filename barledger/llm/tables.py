@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +29,13 @@ def published(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def concluded(df: DataFrame, label: str) -> DataFrame:
-    """Publish a result; within a stage, what the stage has published before is deleted: only the result may be read on."""
-    result = published(df, label)
+def concluded(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Publish what `make` returns; within a stage, what `make` has published on its way is deleted."""
+    before = len(_open or [])
+    result = published(make(), label)
     if _open is not None:
-        discard(df.sparkSession, _open[:-1])
-        del _open[:-1]
+        discard(result.sparkSession, _open[before:-1])
+        del _open[before:-1]
     return result
 
 
